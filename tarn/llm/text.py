@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that end a word where punctuation does not belong to words.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -50,12 +53,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts: byte ranges in ``buf``, hashes, and for each text its range of words."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool, apart: np.ndarray = _SPACE):
         self.raw, self.offs = buf, offs
         if lower:
             buf = _LOWER[buf]
         self.buf = buf
-        space = _SPACE[buf]
+        space = apart[buf]
         begin = ~space
         end = begin.copy()
         inner = offs[1:-1]
@@ -101,13 +104,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def chunks(column, lower: bool = True, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+def chunks(column, lower: bool = True, limit: int = CHUNK, apart: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) over runs of whole texts of about ``limit`` bytes."""
     buf, offs = utf8(column)
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
-        yield i, j, Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
+        yield i, j, Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower, apart)
         i = j
 
 

@@ -72,24 +72,25 @@ def schedule(target: DataFrame) -> DataFrame:
     return ranked.join(t, "place").select("slot", "place", "rank", cut(F.col("rank")).alias("from_word"), cut(F.col("rank") + 1).alias("to_word"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source_size, target, taken, copies, cut): what the mix takes of every row.
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, cut, taken): what the mix takes of every row.
 
     ``copies`` whole passes over the document and ``cut`` of its first words once
     more make ``taken``. Null texts and texts without words have size 0 and are
-    taken 0 times; a null source is a source of its own. Repeated rows are
-    documents of their own. Extra columns are not carried.
+    taken 0 times; a null source is a source of its own; null keys come together.
+    Repeated rows are documents of their own. ``carry`` adds the whole row as ``row``.
     """
-    d = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"))
-    d = stash(d.withColumn("bucket", F.substring("h", 1, DIGITS)), "mix-sizes")  # texts are read once
-    t = targets(d)
+    own = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
+    d = df.select(*own, F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"))
+    d = d.withColumn("bucket", F.substring("h", 1, DIGITS))
+    sizes = stash(d.drop("row"), "mix-sizes")  # words are counted once
+    d = d if carry else sizes
+    t = targets(sizes)
     plan = schedule(t).groupBy("place").agg(F.max("to_word").alias("words"))
-    t = t.join(plan, "place", "left")
-    same = F.col("source").eqNullSafe(F.col("s_source"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    t = t.join(plan, "place", "left").select(F.col("source").alias("s_source"), "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    t = t.select(F.col("source").alias("s_source"), "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
-    sums = sums.join(t, same).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "base", "source_size", "target", "words")
+    sums = sums.join(t, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "base", "source_size", "target", "words")
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     d = d.withColumn("inside", inside)
     d = d.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
@@ -97,18 +98,18 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
     over = F.col("words") - copies * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), over - begin)).cast("long")
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), cut.alias("cut"), (copies * F.col("size") + cut).cast("long").alias("taken"))
+    return d.select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), cut.alias("cut"), (copies * F.col("size") + cut).cast("long").alias("taken"))
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of the mix, with the columns of ``df``: each row as often as the mix takes it, and where a target ends inside a document its first words once more, joined by single spaces. Keys are taken to be unique and not null."""
-    m = mix(df, key, text, source).select(F.col("doc_id").alias("_k"), "size", "copies", "cut")
-    rows = df.join(m, F.col(key) == F.col("_k"))
+    """The rows of the mix, with the columns of ``df``: each row as often as the mix takes it, and where a target ends inside a document its first words once more, joined by single spaces. Rows without words are not in the mix."""
+    m = mix(df, key, text, source, carry=True).where("size > 0")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))
-    rows = rows.withColumn("_cut", F.explode(F.concat(whole, F.when(F.col("cut") == F.col("size"), F.array(F.lit(-1).cast("long"))).otherwise(F.array("cut")))))
-    rows = rows.where("_cut <> 0 and size > 0")
-    part = F.array_join(F.slice(F.filter(F.split(text, WS), lambda w: w != ""), 1, F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col("_cut") < 0, F.col(text)).otherwise(part)).select(df.columns)
+    again = F.when(F.col("cut") == F.col("size"), F.array(F.lit(-1).cast("long"))).otherwise(F.array("cut"))
+    m = m.select("row", F.explode(F.concat(whole, again)).alias("cut")).where("cut <> 0")
+    part = F.array_join(F.slice(F.filter(F.split(f"row.{text}", WS), lambda w: w != ""), 1, F.greatest("cut", F.lit(1)).cast("int")), " ")
+    now = F.when(F.col("cut") < 0, F.col(f"row.{text}")).otherwise(part)
+    return m.select(*(now.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,23 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, epochs: int
     return np.frombuffer(row["f"], "<i4"), np.frombuffer(row["w"], "<f4")
 
 
+def _logits(column, rows: int, table: np.ndarray) -> np.ndarray:
+    """Probability of each text."""
+    z = np.full(rows, table[0])
+    for lo, hi, w in chunks(column, apart=PUNCTUATION):
+        doc, f = features(w)
+        hit = np.flatnonzero(table[f])
+        pairs = np.unique((doc[hit].astype(np.int64) << BITS) | f[hit])
+        z[lo:hi] += np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], hi - lo)
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def _table(model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    table = np.zeros(1 << BITS)
+    table[model[0]] = model[1]
+    return table
+
+
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) for every row.
 
@@ -110,21 +127,27 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_i
     sent = df.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS pairs of 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS)
-        table[sent.value[0]] = sent.value[1]
+        table = _table(sent.value)
         for b in batches:
-            z = np.full(b.num_rows, table[0])
-            for lo, hi, w in chunks(b.column(1), apart=PUNCTUATION):
-                doc, f = features(w)
-                hit = np.flatnonzero(table[f])
-                pairs = np.unique((doc[hit].astype(np.int64) << BITS) | f[hit])
-                z[lo:hi] += np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], hi - lo)
-            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            p = _logits(b.column(1), b.num_rows, table)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[key, "score", "predicted"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
 
 
+def keep_clean(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that the model does not predict to be toxic, with all their columns."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(_logits(b.column(at), b.num_rows, table) < THRESHOLD))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; rows with crc32(doc_id) mod 5 = 0 are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

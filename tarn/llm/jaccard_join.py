@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.store import buckets, cuts, deal, stash
+from tarn.llm.store import buckets, cuts, deal, reclaim, stash
 from tarn.llm.text import chunks, grams, mix
 
 SHINGLE, PERCENT = 5, 75
@@ -432,6 +432,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     n = buckets(spark)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     met = stash(deal(docs.mapInArrow(_send(n, shingle, percent), SENT), n).mapInArrow(_meet(group), GOT), "signatures")
+    reclaim(spark)
     lost = met.where("kind = 3").groupBy("a", "e").agg(F.sum("c").alias("lost")).select(F.col("a").alias("la"), F.col("e").alias("le"), "lost")
     info = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rep"), F.col("c").alias("size"), F.col("d").alias("slack"), F.col("e").alias("band"))
     info = info.join(lost, (F.col("node") == F.col("la")) & (F.col("band") == F.col("le")), "left").select("node", "rep", "size", "band", (F.col("slack") - F.coalesce("lost", F.lit(0))).alias("slack"))

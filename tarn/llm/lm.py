@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import buckets, cuts, deal, stash
+from tarn.llm.store import buckets, cuts, deal, reclaim, stash
 from tarn.llm.text import chunks, mix
 from tarn.llm.units import by_unit, distinct, merged, with_unit
 
@@ -133,6 +133,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", mu: flo
     rows = with_unit(df, [F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.col(key).alias("key")])
     asked = rows.select("unit", "train", "text").mapInArrow(_ask(n), ASKED)
     answers = stash(deal(asked, n).mapInArrow(_answer, ANSWERED), "lm-counts")
+    reclaim(spark)
     facts = answers.where("level = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()[0]
     total, kinds = facts["total"], facts["kinds"]
     discount = min(0.9, max(0.1, facts["once"] / max(facts["once"] + 2 * facts["twice"], 1)))

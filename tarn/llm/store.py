@@ -29,19 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table as written.
+def reclaim(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that shuffle files which only written tables needed are removed now.
 
-    Afterwards the driver's garbage is collected, so that shuffle files which
-    only the written table needed can be removed at once.
+    Spark removes a shuffle's files when the driver no longer refers to it, which
+    is found out at a collection; until then every step's files pile up.
     """
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table as written."""
     spark = df.sparkSession
+    reclaim(spark)
     path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buckets(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.store import buckets, cuts, deal, stash
+from tarn.llm.store import buckets, cuts, deal, reclaim, stash
 from tarn.llm.text import chunks, grams, utf8
 from tarn.llm.units import by_unit, distinct, merged, with_unit
 
@@ -248,6 +248,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     extend, close = _extend(n, window, seed, texts), _close(window, texts)
     found = rows.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(lambda a, b: extend(a, b), FOUND)
     found = stash(found, "substrings")
+    reclaim(df.sparkSession)
     blobs = found.where("bucket is not null").select("unit", "bucket", *PARTS)
     later = deal(blobs, n).mapInArrow(_first, "unit long, rows binary, starts binary")
     waiting = found.where("pending is not null").select("unit", "row", "key", "pending", "removed")

@@ -22,8 +22,8 @@ give none, and are made up for exactly:
    different components, pair by pair.
 
 Pairs must share as many signatures as their sizes demand; those left are verified
-on whole sets: each node's likeliest partner first, then the pairs whose nodes are
-still in different components. No link between components is lost.
+on whole sets, the last step's after the components of all others are known. No
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -440,7 +440,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     open_nodes = info.where("slack < 0").select("node").distinct()
 
     pairs = met.where("kind = 2").groupBy("a", "b", "e").agg(F.sum("c").alias("c"))
-    pairs = _plausible(pairs, info, percent)
+    # of two nodes that are both open, the next step finds out
+    pairs = _plausible(pairs, info, percent, F.greatest("sa", "sb") >= 0)
     pairs = stash(pairs, "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(open_nodes).distinct()
     need = info.join(need, "node", "left_semi").where("rep is not null").select(F.col("rep").alias("key")).distinct()
@@ -471,16 +472,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     every = pairs.select(columns).unionByName(pairs1.select(columns)).unionByName(equal).unionByName(stars)
     every = stash(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c").groupBy("a", "b").agg(F.max("c").alias("c")), "pairs")
 
-    best = every.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = stash(verified(best, sets, percent), "links")
+    links = stash(verified(every, sets, percent), "links")
     label = stash(components(links), "labels")
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    apart = every.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").where("tried is null").select("a", "b")
-    apart = apart.join(of("a"), "a", "left").join(of("b"), "b", "left").where("la is null or lb is null or la <> lb").select("a", "b")
     named = rest.join(of("node"), "node", "left").select("node", "size", "rest", "digest", "prefix", F.coalesce("lnode", "node").alias("label"))
     across = _by_element(named, n).mapInArrow(_across, "a long, b long")
-    apart = apart.unionByName(across).distinct()
-    more = stash(verified(apart, sets, percent), "links")
+    more = stash(verified(across.distinct(), sets, percent), "links")
     label = stash(components(links.unionByName(more)), "labels")
 
     nodes = info.groupBy("node").agg(F.min("rep").alias("rep"))
@@ -499,8 +496,8 @@ def _repeats(sets: DataFrame) -> bool:
     return (r or 0) > 1
 
 
-def _plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, c) whose sizes allow a link and that share as many signatures as a link demands.
+def _plausible(pairs: DataFrame, info: DataFrame, percent: int, also=None) -> DataFrame:
+    """Pairs (a, b, c) whose sizes allow a link and that share as many signatures as a link demands, and for which ``also`` holds.
 
     Of a node's signatures, slack + k + 1 are in small groups; in a link at most as
     many as the elements in which the two sets differ are not shared.
@@ -508,10 +505,10 @@ def _plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     of = lambda c: info.select(F.col("node").alias(c), F.col("band").alias("e"), F.col("size").alias(f"n{c}"), F.col("slack").alias(f"s{c}"))
     p = pairs.join(of("a"), ["a", "e"]).join(of("b"), ["b", "e"])
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    k = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
     # slack was taken against the largest k of the node in its band, which is no less than this pair's
     enough = (F.col("c") >= F.col("sa") + 1) & (F.col("c") >= F.col("sb") + 1)
-    return p.where(fits & enough & (k >= 0)).groupBy("a", "b").agg(F.max("c").alias("c"))
+    p = p.where(fits & enough)
+    return (p if also is None else p.where(also)).groupBy("a", "b").agg(F.max("c").alias("c"))
 
 
 def _by_element(rows: DataFrame, n: int) -> DataFrame:

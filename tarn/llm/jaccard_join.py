@@ -302,45 +302,62 @@ def _singles(n: int, column: int = 2):
     return run
 
 
-#: kind 2 as above. 4: shingles of node a that are frequent.
-MET = "kind int, a long, b long, c long, shingles binary"
+#: kind 2 as above. 4: frequent shingles with their nodes, of the nodes in bucket a.
+MET = "kind int, a long, b long, c long, nodes binary, shingles binary"
 
 
-def _meet_singles(group: int):
+def _meet_singles(group: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for k, s, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 held.setdefault(k, []).append((np.frombuffer(s, "<u8"), np.frombuffer(x, np.int64)))
-        names = ["kind", "a", "b", "c", "shingles"]
+        names = ["kind", "a", "b", "c", "nodes", "shingles"]
+        none = lambda k, t: pa.nulls(k, t)
         for parts in held.values():
             s, x, each = grouped(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             a, b, _, times = small_pairs(x, np.zeros(len(x), np.int64), each, group)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), 2, np.int32)), pa.array(a), pa.array(b), pa.array(times.astype(np.int64)), pa.nulls(len(a), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), 2, np.int32)), pa.array(a), pa.array(b), pa.array(times.astype(np.int64)), none(len(a), pa.binary()), none(len(a), pa.binary())], names=names)
             large = each > group
             if large.any():
-                x, s = x[large], s[large]
-                order = np.lexsort((s, x))
+                x, s = x[large].view(np.uint64), s[large]
+                order = np.argsort(x, kind="stable")
                 x, s = x[order], s[order]
-                at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                ends = np.r_[at[1:], len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 4, np.int32)), pa.array(x[at]), pa.nulls(len(at), pa.int64()), pa.array((ends - at).astype(np.int64)), pa.array([s[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())], names=names)
+                at = cuts(x, n)
+                k = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 4, np.int32)), pa.array([c for c, _, _ in at], pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array([x[i:j].tobytes() for _, i, j in at], pa.binary()), pa.array([s[i:j].tobytes() for _, i, j in at], pa.binary())], names=names)
 
     return run
 
 
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, lost, shingles): the frequent shingles of each node, ascending."""
+    nodes, shingle = [], []
+    for b in batches:
+        nodes += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        shingle += [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
+    if not nodes:
+        return
+    x, s = np.concatenate(nodes), np.concatenate(shingle)
+    order = np.lexsort((s, x))
+    x, s = x[order], s[order]
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    ends = np.r_[at[1:], len(x)]
+    yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array((ends - at).astype(np.int64)), pa.array([s[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())], names=["a", "lost", "shingles"])
+
+
 FREQUENT = "node long, size long, rest long, digest long, prefix binary"
 
 
 def _frequent(percent: int):
-    """Frequent part of each node from its pieces; nodes that it can't link to any other are left out."""
+    """Nodes whose frequent part can link them to another, with its digest and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, size, pieces in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                f = np.sort(np.concatenate([np.frombuffer(p, "<u8") for p in pieces]))
+            for x, size, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                f = np.frombuffer(own, "<u8")
                 need = -(-percent * size // 100)
                 if len(f) >= need:
                     out.append((x, size, size - len(f), node_of(f), f[: len(f) - need + 1].tobytes()))
@@ -450,8 +467,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     sets = sets.dropDuplicates(["node"]) if _repeats(sets) else sets
 
     singles = sets.join(open_nodes, "node", "left_semi").mapInArrow(_singles(n), "bucket int, sig binary, sig_node binary")
-    single = stash(deal(singles, n).mapInArrow(_meet_singles(group), MET), "singles")
-    often = single.where("kind = 4").groupBy("a").agg(F.sum("c").alias("lost"), F.collect_list("shingles").alias("pieces"))
+    single = stash(deal(singles, n).mapInArrow(_meet_singles(group, n), MET), "singles")
+    often = deal(single.where("kind = 4").select(F.col("a").cast("int").alias("bucket"), "nodes", "shingles"), n).mapInArrow(_assemble, "a long, lost long, shingles binary")
+    often = stash(often, "often")
     plain = info.groupBy("node").agg(F.first("size").alias("size"))
     # a set is a partition of single shingles: size - 1 - k may be lost
     limit = F.col("size") - 1 - F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("long")
@@ -460,7 +478,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     pairs1 = single.where("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("c")).withColumn("e", F.lit(0).cast("long"))
     pairs1 = _plausible(pairs1, info1, percent)
 
-    frequent = often.join(info1.select("node", "size"), F.col("a") == F.col("node")).select("node", "size", "pieces").mapInArrow(_frequent(percent), FREQUENT)
+    frequent = often.join(info1.select("node", "size"), F.col("a") == F.col("node")).select("node", "size", "shingles").mapInArrow(_frequent(percent), FREQUENT)
     frequent = stash(frequent, "frequent")
     lead = frequent.groupBy("digest").agg(F.min(F.struct("rest", "node")).alias("lead")).select(F.col("digest").alias("d"), "lead")
     frequent = frequent.join(lead, F.col("digest") == F.col("d")).withColumn("led", (F.col("node") != F.col("lead.node")) & ((100 - percent) * (F.col("size") - F.col("rest")) >= percent * (F.col("rest") + F.col("lead.rest"))))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # WGS 84 and UTM.
 A, FLAT, K0, EAST0, NORTH0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
@@ -91,13 +92,17 @@ def from_utm(x: np.ndarray, y: np.ndarray, zone: np.ndarray, south: np.ndarray)
     return np.degrees(phi), np.degrees(np.arctan2(np.sinh(ep), np.cos(xp))) + zone * 6 - 183
 
 
-@F.pandas_udf("x double, y double")
+def _pair(a: str, b: str) -> T.StructType:
+    return T.StructType([T.StructField(a, T.DoubleType()), T.StructField(b, T.DoubleType())])
+
+
+@F.pandas_udf(_pair("x", "y"))
 def utm_xy(lat: pd.Series, lon: pd.Series, zone: pd.Series, south: pd.Series) -> pd.DataFrame:
     x, y = to_utm(lat.to_numpy(float), lon.to_numpy(float), zone.to_numpy(float), south.to_numpy(bool))
     return pd.DataFrame({"x": x, "y": y})
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(_pair("lat", "lon"))
 def utm_lonlat(x: pd.Series, y: pd.Series, zone: pd.Series, south: pd.Series) -> pd.DataFrame:
     lat, lon = from_utm(x.to_numpy(float), y.to_numpy(float), zone.to_numpy(float), south.to_numpy(bool))
     return pd.DataFrame({"lat": lat, "lon": lon})

@@ -35,7 +35,8 @@ def merge_attributes(vertices: DataFrame, new: DataFrame, listed: list[str], ord
 
 
 def revisit_rows(revisits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of new revisits (id, satellite, aoi): both or neither are to be written (see ``sources.sinks.write_together``)."""
+    """Vertices and edges of new revisits (id, satellite, aoi; ids as text): both or neither are to be written (see ``sources.sinks.write_together``)."""
+    revisits = revisits.select(*(F.col(c).cast("string").alias(c) for c in ("id", "satellite", "aoi")))
     v = revisits.select("id", F.lit("revisit").alias("label"), F.create_map(F.lit("satellite"), F.col("satellite"), F.lit("aoi"), F.col("aoi")).alias("props"))
     e = revisits.select(F.col("satellite").alias("src"), F.col("id").alias("dst"), F.lit("captures").alias("label")).unionByName(revisits.select(F.col("id").alias("src"), F.col("aoi").alias("dst"), F.lit("on").alias("label")))
     return v, e

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import buckets, cuts, deal, reclaim, stash
+from tarn.llm.store import buckets, cuts, deal, packed, reclaim, stash, unpacked
 from tarn.llm.text import chunks, mix
 from tarn.llm.units import by_unit, distinct, merged, with_unit
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Weight of the lower order in a state's arcs, in words.
 MU = 50.0
+#: Tokens that are weighed at once.
+BLOCK = 1 << 17
 _PAIR = np.uint64(0xA4093822299F31D1)
 
 
@@ -73,7 +75,7 @@ def _ask(n: int):
                 if len(other):
                     k, c = merged([(k, c), (other, np.zeros(len(other), np.int64))])
                 for b, lo, hi in cuts(k, n):
-                    for column, v in zip(out, (unit, b, level, k[lo:hi].tobytes(), c[lo:hi].astype("<u4").tobytes()), strict=True):
+                    for column, v in zip(out, (unit, b, level, packed(k[lo:hi]), c[lo:hi].astype("<u4").tobytes()), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["unit", "bucket", "level", "keys", "counts"])
 
@@ -85,7 +87,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], dict[int, list]] = {}
     for b in batches:
         for u, k, level, keys, counts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            held.setdefault((level, k), {}).setdefault(u, []).append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u4")))
+            held.setdefault((level, k), {}).setdefault(u, []).append((unpacked(keys), np.frombuffer(counts, "<u4")))
     for (level, k), units in held.items():
         key, count = merged([p for parts in units.values() for p in parts])
         facts = (int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum()))
@@ -102,11 +104,11 @@ def _expand(keys: np.ndarray, answers: pa.Table, level: int) -> np.ndarray:
     got = np.concatenate([np.frombuffer(x, "<u4") for x in mine["counts"].to_pylist()]) if mine.num_rows else np.zeros(0, "<u4")
     order = np.argsort(keys)
     s = keys[order]
-    which = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    if len(s) and which[-1] + 1 != len(got):
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    if len(at) != len(got):
         raise RuntimeError("a unit's rows are not those that asked; its input changed between two reads")
-    out = np.empty(len(keys), np.int64)
-    out[order] = got[which]
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.repeat(got, np.diff(np.r_[at, len(s)]))
     return out
 
 
@@ -141,17 +143,26 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", mu: flo
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
         t, first = tokens(docs["text"])
-        before, arcs = pairs(t, first)
-        c_word, c_arc = _expand(t, got, 0), _expand(arcs, got, 1)
-        c_state = np.r_[0, c_word[:-1]]
-        # every training text starts once and ends once
-        ends = c_word[first[1] - 1] if docs.num_rows else 0
-        c_state[first[:-1]] = ends
-        step = traverse(c_word, c_state, c_arc, total, kinds, discount, mu)
-        base = np.log10(c_word + 1.0) - np.log10(float(total + kinds + 1))
-        at = first[:-1]
+        c_arc = _expand(pairs(t, first)[1], got, 1)
+        c_word = _expand(t, got, 0)
+        n = docs.num_rows
+        known, base, total_score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        norm = np.log10(float(total + kinds + 1))
+        i = 0
+        while i < n:  # some texts at a time: the automaton's weights are many times as large as the counts
+            j = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK, side="right")) - 1)
+            lo, hi = first[i], first[j]
+            word, arc = c_word[lo:hi].astype(np.int64), c_arc[lo:hi].astype(np.int64)
+            at = first[i:j] - lo
+            state = np.r_[0, word[:-1]]
+            # every training text starts once and ends once
+            state[at] = word[first[i + 1] - 1 - lo]
+            known[i:j] = np.add.reduceat((word > 0).astype(np.int64), at)
+            base[i:j] = np.add.reduceat(np.log10(word + 1.0) - norm, at)
+            total_score[i:j] = np.add.reduceat(traverse(word, state, arc, total, kinds, discount, mu), at)
+            i = j
         longs = lambda x: pa.array(np.asarray(x, np.int64))
-        return pa.table([docs["key"], pa.array(~docs["train"].to_numpy()), longs(np.diff(first)), longs(np.add.reduceat((c_word > 0).astype(np.int64), at)), longs(np.full(docs.num_rows, total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(step, at))], names=schema.names)
+        return pa.table([docs["key"], pa.array(~docs["train"].to_numpy()), longs(np.diff(first)), longs(known), longs(np.full(n, total)), pa.array(base), pa.array(total_score)], names=schema.names)
 
     return rows.groupBy("unit").cogroup(answers.select("unit", "bucket", "level", "counts").groupBy("unit")).applyInArrow(lambda a, b: run(a, b), schema)
 

@@ -85,7 +85,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     d = d.withColumn("bucket", F.substring("h", 1, DIGITS))
     sizes = stash(d.drop("row"), "mix-sizes")  # words are counted once
     d = d if carry else sizes
-    t = targets(sizes)
+    t = stash(targets(sizes), "targets")  # one row for each source
     plan = schedule(t).groupBy("place").agg(F.max("to_word").alias("words"))
     t = t.join(plan, "place", "left").select(F.col("source").alias("s_source"), "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

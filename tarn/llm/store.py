@@ -12,6 +12,7 @@ operators here exchange millions of 64-bit hashes; these travel as byte arrays
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -33,16 +34,19 @@ def reclaim(spark: SparkSession) -> None:
     """Collect the driver's garbage, so that shuffle files which only written tables needed are removed now.
 
     Spark removes a shuffle's files when the driver no longer refers to it, which
-    is found out at a collection; until then every step's files pile up.
+    is found out at a collection; until then every step's files pile up. The
+    second collection is for what the scheduler still held during the first.
     """
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table as written."""
     spark = df.sparkSession
-    reclaim(spark)
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -71,3 +75,14 @@ def cuts(sorted_keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     ends = np.r_[at[1:], len(which)]
     return [(int(which[a]), int(a), int(b)) for a, b in zip(at, ends)]
+
+
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit values as differences, byte plane by byte plane: the upper planes are zeros, which a shuffle's compression removes."""
+    d = np.diff(ascending, prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    d = np.frombuffer(data, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=np.uint64)

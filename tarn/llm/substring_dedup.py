@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.store import buckets, cuts, deal, reclaim, stash
+from tarn.llm.store import buckets, cuts, deal, packed, reclaim, stash, unpacked
 from tarn.llm.text import chunks, grams, utf8
 from tarn.llm.units import by_unit, distinct, merged, with_unit
 
@@ -64,13 +64,13 @@ class Windows:
             for s in range(span):
                 hit = p + s
                 at[hit[g[hit] == a]] = True
-            rows.append(doc[p] + lo)
-            pos.append(p - w.first[doc[p]])
+            rows.append((doc[p] + lo).astype(np.int32))
+            pos.append((p - w.first[doc[p]]).astype(np.int32))
             seeds.append(a)
             full.append(grams(w.hash, window)[p])
             seen.append(g[at])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self.row, self.pos, self.seed, self.full = cat(rows, np.int64), cat(pos, np.int64), cat(seeds, np.uint64), cat(full, np.uint64)
+        self.row, self.pos, self.seed, self.full = cat(rows, np.int32), cat(pos, np.int32), cat(seeds, np.uint64), cat(full, np.uint64)
         self.keys, self.count = distinct(cat(seen, np.uint64))
 
 
@@ -78,7 +78,7 @@ def _ask(n: int, window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, rows in by_unit(batches):
             w = Windows(rows.column(1), window, seed)
-            got = [(unit, b, w.keys[lo:hi].tobytes(), np.minimum(w.count[lo:hi], 2).astype(np.uint8).tobytes()) for b, lo, hi in cuts(w.keys, n)]
+            got = [(unit, b, packed(w.keys[lo:hi]), np.minimum(w.count[lo:hi], 2).astype(np.uint8).tobytes()) for b, lo, hi in cuts(w.keys, n)]
             if got:
                 u, b, k, c = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["unit", "bucket", "keys", "counts"])
@@ -91,7 +91,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, dict[int, list]] = {}
     for b in batches:
         for u, k, keys, counts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            held.setdefault(k, {}).setdefault(u, []).append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, np.uint8)))
+            held.setdefault(k, {}).setdefault(u, []).append((unpacked(keys), np.frombuffer(counts, np.uint8)))
     for k, units in held.items():
         key, count = merged([p for parts in units.values() for p in parts])
         for u, parts in units.items():

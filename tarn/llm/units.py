@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.store import stash
 
-ROWS = 4096
+ROWS = 3072
 
 
 def with_unit(df: DataFrame, columns: list[Column | str]) -> DataFrame:

@@ -125,7 +125,14 @@ def surface_reflectance(dn: Column) -> Column:
     return F.when(dn != 0, dn * F.lit(2.75e-5) - F.lit(0.2))
 
 
-def false_colour(vv: Column, vh: Column, dark: int = 80) -> Column:
-    """struct(r, g, b) of a radar pixel: dark water is tinted blue, the rest shows vv, vh and their ratio."""
+def false_colour(vv: Column, vh: Column, dark: int = 80, top: float = 2000.0) -> Column:
+    """struct(r, g, b) in 0..1 of a radar pixel: one linear mix of vv and vh for dark water, another for the rest, clipped at ``top``."""
     water = vv < dark
-    return F.struct(F.when(water, F.lit(0)).otherwise(vv).alias("r"), F.when(water, F.lit(0)).otherwise(vh).alias("g"), F.when(water, F.lit(255)).otherwise(F.coalesce(F.try_divide(vv * 1.0, vh), F.lit(0.0)).cast("int")).alias("b"))
+    mixes = {"r": (vv, 3 * vv), "g": (8 * vv, 1.1 * vv + 8.75 * vh), "b": (0.5 + 3 * vv + 2000 * vh, 1.75 * vh)}
+    return F.struct(*(stretched(F.when(water, w).otherwise(r), F.lit(0.0), F.lit(top)).alias(c) for c, (w, r) in mixes.items()))
+
+
+def finite(value: Column) -> Column:
+    """The number, or null for infinities and NaN."""
+    v = value.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)

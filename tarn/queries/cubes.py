@@ -281,3 +281,32 @@ def scored_chips(t, spark):
 def random_sampler(t, spark):
     """Frames drawn with replacement and random chip offsets, the same at every run."""
     return chips.random_sampler(t("embeddings").select("vec_id"), 8, 3, 64, 4, 7)
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS vv, l_discount AS vh FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(least(greatest(CASE WHEN vv < 80 THEN vv ELSE 3 * vv END / 2000, 0), 1), 9) AS r,
+round(least(greatest(CASE WHEN vv < 80 THEN 8 * vv ELSE 1.1 * vv + 8.75 * vh END / 2000, 0), 1), 9) AS g, round(least(greatest(CASE WHEN vv < 80 THEN 0.5 + 3 * vv + 2000 * vh ELSE 1.75 * vh END / 2000, 0), 1), 9) AS b FROM p""")
+def false_colour(t, spark):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", pixel.false_colour(F.col("l_quantity") * 3, F.col("l_discount")).alias("c"))
+    return d.select("l_orderkey", "l_linenumber", *(F.round(f"c.{k}", 9).alias(k) for k in "rgb"))
+
+
+@query(FRAMES + """ SELECT vec_id, y, x, round((CAST(v AS DOUBLE) - min(CAST(v AS DOUBLE)) OVER w) / (max(CAST(v AS DOUBLE)) OVER w - min(CAST(v AS DOUBLE)) OVER w + 1e-6), 5) AS u FROM f WINDOW w AS (PARTITION BY vec_id)""")
+def min_max_normalised(t, spark):
+    from pyspark.sql import Window
+
+    w, v = Window.partitionBy("vec_id"), F.col("v").cast("double")
+    d = frames(t)
+    return d.select("vec_id", "y", "x", F.round(pixel.min_max(v, F.min(v).over(w), F.max(v).over(w)), 5).alias("u"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_suppkey % 10 <> 0 THEN (l_suppkey % 10) * 2.75e-5 - 0.2 END, 8) AS sr FROM lineitem")
+def surface_reflectance(t, spark):
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(pixel.surface_reflectance(F.col("l_suppkey") % 10), 8).alias("sr"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_tax / nullif(l_discount, 0), 6) AS ratio FROM lineitem WHERE l_discount <> 0")
+def finite_rows(t, spark):
+    """Infinite and undefined ratios become null and their rows go."""
+    d = t("lineitem").withColumn("ratio", F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.try_divide("l_tax", "l_discount")))
+    return d.withColumn("ratio", pixel.finite(F.col("ratio"))).dropna(subset=["ratio"]).select("l_orderkey", "l_linenumber", F.round("ratio", 6).alias("ratio"))

@@ -199,3 +199,35 @@ def label_range(t, spark):
 
     e = t("events").select("user_id", F.struct("ts", "event_id").alias("d"))
     return op(e, ["user_id"], "d", 2).select("user_id", F.col("d.ts").alias("date"), F.col("input_date.ts").alias("input_date"))
+
+
+@query("""WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time, CAST(day(o_orderdate) AS BIGINT) - 1 AS step, avg(o_totalprice) AS tp FROM orders GROUP BY ALL)
+SELECT CAST(time + CAST(step AS INTEGER) AS DATE) AS date, round(tp - coalesce(lag(tp) OVER (PARTITION BY time ORDER BY step), 0), 0) AS tp FROM c""")
+def seasonal_daily(t, spark):
+    """Daily steps of cumulative monthly forecasts, averaged over members and cells."""
+    from tarn.plans.seasonal import daily
+
+    o, d = t("orders"), F.to_date("o_orderdate")
+    cube = o.select(F.trunc(d, "month").alias("time"), (F.day(d) - 1).cast("long").alias("step"), (F.col("o_custkey") % 3).alias("member"), (F.col("o_orderkey") % 2).alias("latitude"), F.lit(0).alias("longitude"), F.col("o_totalprice").alias("tp"))
+    return daily(cube).select("date", F.round("tp", 0).alias("tp"))
+
+
+@query("""WITH d AS (SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS price FROM orders GROUP BY ALL),
+r AS (SELECT status, date, avg(price) OVER (PARTITION BY status ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS m FROM d)
+SELECT status, date, round(m, 0) AS mean FROM r WHERE day(date) = 1""")
+def month_start_means(t, spark):
+    from tarn.plans.seasonal import month_starts
+
+    d = t("orders").groupBy(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("price"))
+    return month_starts(d, ["status"], "date", "price").select("status", "date", F.round("mean", 0).alias("mean"))
+
+
+@query("""WITH f AS (SELECT user_id % 6 AS aoi, event_id % 3 AS fold, value, value * 0.9 + 1 AS pred FROM events), m AS (SELECT aoi, fold, avg((value - pred) * (value - pred)) AS mse FROM f GROUP BY ALL)
+SELECT aoi, round(avg(mse), 4) AS mse FROM m GROUP BY aoi""")
+def fold_errors(t, spark):
+    """Mean over folds of each area's squared error."""
+    from tarn.operators.metrics import evaluate
+
+    f = t("events").select((F.col("user_id") % 6).alias("aoi"), (F.col("event_id") % 3).alias("fold"), "value", (F.col("value") * 0.9 + 1).alias("pred"))
+    m = evaluate(f, "pred", "value", ["mse"], ["aoi", "fold"])
+    return m.groupBy("aoi").agg(F.round(F.avg("mse"), 4).alias("mse"))

@@ -178,3 +178,41 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(spark.table("win").collect()) == sorted(incremental.windowed(d, "time", "c", "area", "5 minutes").collect())
     assert incremental.windowed(d, "time", "c", "area", "10 minutes", "5 minutes").count() == 5
     assert incremental.sessions(d, "time", "c", "3 minutes").count() == 1
+
+
+def test_items(spark):
+    from tarn.sources import items
+
+    d = spark.createDataFrame([(XML, "s3://b/LC08_x_MTL.xml")], "value string, href string")
+    r = items.landsat_items(d).collect()[0]
+    assert r.id == "LC08_L2SP_017036_20130419_02_T2" and r.properties["instruments"] == "oli-tirs" and r.properties["eo:cloud_cover"] == "31.5"
+    assert r.assets["SR_B4"] == "s3://b/LC08_x_SR_B4.TIF" and r.assets["ST_B10"].endswith("ST_B10.TIF") and r.assets["ANG"].endswith("_ANG.txt")
+    assert "landsat:wrs_type" not in r.properties
+    sr = items.landsat_items(d.withColumn("value", F.replace("value", F.lit("<PROCESSING_LEVEL>L2SP"), F.lit("<PROCESSING_LEVEL>L2SR")))).collect()[0]
+    assert "ST_B10" not in sr.assets
+    old = spark.createDataFrame([({"eo:off_nadir": "0", "a": "1"}, {"B1.TIF": "x", "B2": None})], "properties map<string,string>, assets map<string,string>")
+    u = items.upgraded(old).collect()[0]
+    assert u.properties == {"a": "1", "view:off_nadir": "0", "constellation": "Landsat"} and u.assets == {"B1": "x"}
+    with pytest.raises(Exception, match="off_nadir"):
+        items.upgraded(old.withColumn("properties", F.create_map(F.lit("a"), F.lit("1")))).collect()
+    with pytest.raises(ValueError):
+        items.collection("other")
+    one = spark.range(1).select(items.legacy_properties(F.create_map(F.lit("landsat:correction"), F.lit("L2SP"))))
+    assert one.collect()[0][0] == {"landsat:processing_level": "L2SP"}
+
+
+def test_radar(spark):
+    from tarn.sources import items
+
+    xml = "<r xmlns:s1sarl1='a' xmlns:s1='b' xmlns:safe='c'><s1sarl1:mode>IW</s1sarl1:mode><s1sarl1:transmitterReceiverPolarisation>VV</s1sarl1:transmitterReceiverPolarisation><s1sarl1:transmitterReceiverPolarisation>VH</s1sarl1:transmitterReceiverPolarisation><s1:pass>DESCENDING</s1:pass><safe:orbitNumber>42</safe:orbitNumber><numberOfSamples>10</numberOfSamples><numberOfLines>20</numberOfLines></r>"
+    r = items.radar_fields(spark.createDataFrame([(xml,)], "value string")).collect()[0]
+    assert r["mode"] == "IW" and r.polarisations == ["VV", "VH"] and r.orbit_state == "descending" and r.absolute_orbit == 42 and r["shape"] == [10, 20]
+
+
+def test_geometry_fallback(spark):
+    from tarn.sources import items
+
+    i = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    g = lambda rows: spark.createDataFrame(rows, "id string, geometry string")
+    got = {r.id: r.geometry for r in items.with_geometry(i, g([("a", "s")]), g([("a", "v"), ("b", "v"), ("c", "v"), ("c", "w")])).collect()}
+    assert got == {"a": "s", "b": "v", "c": None}

@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as e
@@ -20,11 +22,11 @@ def duck():
 
 
 def cell(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return ""
-    if isinstance(v, bool):
+    if isinstance(v, (bool, np.bool_)):
         return str(v)
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, np.integer, np.floating)):
         return f"{v + 0.0:.4f}"
     return str(v).replace(" 00:00:00", "")
 

@@ -32,19 +32,24 @@ def pick(ts: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def resample(ts: DataFrame, key: str, date: str, value: str, days: int = 30, fill: float | None = 0.0) -> DataFrame:
+def resample(ts: DataFrame, keys: str | list[str], date: str, value: str, days: int = 30, fill: float | None = 0.0) -> DataFrame:
     """Mean of each bin of ``days`` days from the key's own first date; empty bins are filled, means cut to whole numbers.
 
-    One shuffle by key for bounds and bins together: values are combined by (key,
-    bin) only after the key's first date is known.
+    One scan and one shuffle: first dates, bins and gaps all need the rows by key,
+    and a partitioning by key serves the grouping by key and bin too. A gap is the
+    distance to the next bin, exploded.
     """
-    span = ts.groupBy(key).agg(F.min(date).alias("_d0"), F.max(date).alias("_d1"))
-    number = F.floor(F.date_diff(date, "_d0") / days).cast("int")
-    bins = ts.join(span, key).groupBy(key, number.alias("_bin"), "_d0").agg(F.avg(value).alias(value))
-    grid = span.select(key, "_d0", F.explode(F.sequence(F.lit(0), F.floor(F.date_diff("_d1", "_d0") / days).cast("int"))).alias("_bin"))
-    out = grid.join(bins, [key, "_d0", "_bin"], "left")
-    v = F.coalesce(F.col(value), F.lit(fill)) if fill is not None else F.col(value)
-    return out.select(key, F.date_add("_d0", F.col("_bin") * days).alias(date), v.cast("long").alias(value))
+    keys = [keys] if isinstance(keys, str) else keys
+    w = Window.partitionBy(*keys)
+    d = ts.withColumn("_d0", F.min(date).over(w))
+    number = F.floor(F.date_diff(date, "_d0") / days).cast("int").alias("_bin")
+    bins = d.groupBy(*keys, "_d0", number).agg(F.avg(value).alias("_mean"))
+    bins = bins.withColumn("_next", F.lead("_bin").over(w.orderBy("_bin")))
+    out = bins.withColumn("_at", F.explode(F.sequence("_bin", F.coalesce(F.col("_next") - 1, F.col("_bin")))))
+    v = F.when(F.col("_at") == F.col("_bin"), F.col("_mean"))
+    if fill is not None:
+        v = F.coalesce(v, F.lit(fill))
+    return out.select(*keys, F.date_add("_d0", F.col("_at") * days).alias(date), v.cast("long").alias(value))
 
 
 def rolling_rows(ts: DataFrame, keys: list[str], order: list[str], value: str, n: int, out: str, how: str = "avg", full: bool = True) -> DataFrame:

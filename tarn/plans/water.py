@@ -21,8 +21,7 @@ def area_points(water_ts: DataFrame, area_id: int | list[int] | None = None, con
 
 def resampled(points: DataFrame, days: int = 30) -> DataFrame:
     """Whole mean areas in bins of ``days`` days from each series' first date; empty bins are 0."""
-    d = points.withColumn("_k", F.struct("area_id", "constellation"))
-    return timeseries.resample(d, "_k", "date", "area", days).select("_k.*", "date", "area")
+    return timeseries.resample(points, ["area_id", "constellation"], "date", "area", days)
 
 
 def timeseries_response(water_ts: DataFrame, area_id: int, constellation: str = "all", resample: bool = True) -> DataFrame:

@@ -80,3 +80,9 @@ def test_components(spark):
     got = {x.node: x.label for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: find(k) for k in list(parent)}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_no_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = toxicity.score(odd, toxicity.fit(odd, none)).collect()
+    assert len(out) == odd.count() and not any(r.predicted for r in out)

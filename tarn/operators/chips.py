@@ -133,3 +133,8 @@ def label_range(frames: DataFrame, keys: list[str], date: str, delta: int) -> Da
     w = Window.partitionBy(*keys).orderBy(date).rowsBetween(-delta, 0)
     d = frames.select(*keys, date, F.collect_list(date).over(w).alias("_d"))
     return d.select(*keys, date, F.explode("_d").alias("input_date"))
+
+
+def worker_share(index: Column, total: int, workers: int, strided: bool = True) -> Column:
+    """Worker of a chip by its index: every ``workers``-th, or one run of equal length each."""
+    return (F.pmod(index, F.lit(workers)) if strided else F.floor(index / F.lit(-(-total // workers)))).cast("int")

@@ -149,3 +149,13 @@ def landsat_epsg(zone: Column, centre_lat: Column, satellite: Column, true_scale
 def unwrapped(lons: Column) -> Column:
     """Longitudes over 180 brought back by 360."""
     return F.transform(lons, lambda v: F.when(v > 180, v - 360).otherwise(v))
+
+
+def tile_rings(tiles: DataFrame) -> DataFrame:
+    """Add ``ring``: the closed (lon, lat) outline of each tile's corners."""
+    south = F.col("epsg") >= 32700
+    corner = lambda x, y: utm_lonlat(F.col(x).cast("double"), F.col(y).cast("double"), F.col("zone").cast("double"), south)
+    names = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")]
+    d = tiles.withColumns({f"_c{i}": corner(*c) for i, c in enumerate(names)})
+    points = [F.struct(F.col(f"_c{i}.lon").alias("lon"), F.col(f"_c{i}.lat").alias("lat")) for i in (0, 1, 2, 3, 0)]
+    return d.withColumn("ring", F.array(*points)).drop(*(f"_c{i}" for i in range(4)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import frames, rules, timeseries
+from tarn.operators import frames, geo, rules, timeseries
 from tarn.sources import sinks
 
 
@@ -50,3 +50,14 @@ def all_constellations(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def lookup(dim: DataFrame, key: str, value=None) -> DataFrame:
+    """All rows of a dimension, or those of one key; the filter reaches the scan."""
+    return dim if value is None else dim.where(F.col(key) == value)
+
+
+def tile_geometries(water_tiles: DataFrame, area_id: int) -> DataFrame:
+    """(tile_id, ring) of the tiles of one area from (area_id, tiles)."""
+    ids = water_tiles.where(F.col("area_id") == area_id).select(F.explode("tiles").alias("tile_id"))
+    return geo.tile_rings(geo.tile_from_id(ids)).select("tile_id", "ring")

@@ -263,3 +263,31 @@ def test_dims(spark):
         dims.common_names("other")
     with pytest.raises(ValueError):
         pixel.standardised(F.lit(1), "landsat-8", "nope")
+
+
+def test_tile_geometries(spark):
+    d = spark.createDataFrame([(1, ["44_Q_10000_78_237", "34_H_10000_26_624"]), (2, ["44_Q_10000_78_238"])], "area_id long, tiles array<string>")
+    got = {r.tile_id: r.ring for r in water.tile_geometries(d, 1).collect()}
+    assert set(got) == {"44_Q_10000_78_237", "34_H_10000_26_624"}
+    ring = got["44_Q_10000_78_237"]
+    assert ring[0] == ring[4] and 78 < ring[0].lon < 85 and 21 < ring[0].lat < 22
+    assert got["34_H_10000_26_624"][0].lat < 0
+    assert water.lookup(d, "area_id", 2).count() == 1 and water.lookup(d, "area_id").count() == 2
+
+
+def test_worker_share(spark):
+    d = spark.range(7)
+    assert [r[0] for r in d.select(chips.worker_share(F.col("id"), 7, 3)).collect()] == [0, 1, 2, 0, 1, 2, 0]
+    assert [r[0] for r in d.select(chips.worker_share(F.col("id"), 7, 3, strided=False)).collect()] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_random_sampler(spark):
+    f = spark.range(40).withColumnRenamed("id", "frame")
+    a, b = (chips.random_sampler(f, 100, 10, 16, 3, seed=1) for _ in range(2))
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 48
+    assert all(0 <= r.i <= 90 and 0 <= r.j <= 90 for r in a.collect())
+
+
+def test_crop(spark):
+    d = long(spark, SEG)
+    assert chips.crop(d, 1, 1, 2).where("t = 0").count() == 4

@@ -391,28 +391,29 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a prefix's element whose nodes have different labels and frequent parts and whose sizes allow a link."""
+    """(a, b): pairs that share a prefix's element, with different labels and frequent parts and sizes that allow a link; each at its least common element only."""
     held: dict[int, list] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            s = np.frombuffer(r["prefix"], "<u8")
-            for k in s.tolist():
-                held.setdefault(k, []).append((r["label"], r["node"], r["size"], r["rest"], r["digest"]))
-    done: set[tuple[int, int]] = set()
-    for members in held.values():
+            every = np.frombuffer(r["every"], "<u8")
+            for k in np.frombuffer(r["prefix"], "<u8").tolist():
+                held.setdefault(k, []).append((r["label"], r["node"], r["size"], r["rest"], r["digest"], every))
+    for k, members in held.items():
         if len({m[0] for m in members}) < 2:
             continue
-        m = np.array(sorted(members), np.int64)
+        m = np.array([x[:5] for x in members], np.int64)
+        before = [x[5][x[5] < np.uint64(k)] for x in members]  # what they might have met at already
+        element, column = np.unique(np.concatenate(before), return_inverse=True)
+        has = np.zeros((len(members), len(element)), np.float32)
+        has[np.repeat(np.arange(len(members)), [len(x) for x in before]), column] = 1
         for i in range(len(m) - 1):
-            o = m[i + 1 :]
-            own = m[i]
+            o, own = m[i + 1 :], m[i]
             both = np.minimum(own[2] - own[3], o[:, 2] - o[:, 3])
             ok = (o[:, 0] != own[0]) & (o[:, 4] != own[4]) & ((100 + PERCENT) * both >= PERCENT * (own[2] + o[:, 2]))
-            fresh = [p for p in ((min(own[1], y), max(own[1], y)) for y in o[ok, 1]) if p not in done]
-            done.update(fresh)
-            if fresh:
-                a, b = zip(*fresh, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if ok.any():
+                ok &= has[i + 1 :] @ has[i] == 0
+                other = o[ok, 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[1], other)), pa.array(np.maximum(own[1], other))], names=["a", "b"])
 
 
 def _similar(percent: int):
@@ -530,18 +531,18 @@ def _plausible(pairs: DataFrame, info: DataFrame, percent: int, also=None) -> Da
 
 
 def _by_element(rows: DataFrame, n: int) -> DataFrame:
-    """Rows with a prefix once for each bucket that its elements are in, with those elements."""
+    """Rows with a prefix once for each bucket that its elements are in, with those elements and all (``every``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
                 s = np.frombuffer(r["prefix"], "<u8")
-                out += [(k, r["node"], r["size"], r["rest"], r["digest"], s[x:y].tobytes(), r["label"]) for k, x, y in cuts(s, n)]
+                out += [(k, r["node"], r["size"], r["rest"], r["digest"], s[x:y].tobytes(), r["label"], r["prefix"]) for k, x, y in cuts(s, n)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()], strict=True)], names=["bucket", "node", "size", "rest", "digest", "prefix", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()], strict=True)], names=["bucket", "node", "size", "rest", "digest", "prefix", "label", "every"])
 
-    return deal(rows.mapInArrow(run, "bucket int, node long, size long, rest long, digest long, prefix binary, label long"), n)
+    return deal(rows.mapInArrow(run, "bucket int, node long, size long, rest long, digest long, prefix binary, label long, every binary"), n)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_url_filters": url_filters.SQL,
     "op2_mixing": mixing.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
 }

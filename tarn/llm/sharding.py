@@ -4,15 +4,15 @@ Rows with equal texts form a group; groups are ordered by a hash of the text, an
 the 65,536 prefixes of that hash are the atomic sizes that the partition works
 on, so that what the driver sees is bounded however many rows there are (equal
 texts share a hash, hence a cell and a shard). The smallest capacity at which a
-greedy sweep needs no more shards than asked is found by binary search; shards
-are cut there. A cell larger than an even share, such as that of a text with very
+greedy sweep needs no more shards than asked is found by binary search; within it
+shards are cut where they are most even. A cell larger than an even share, such as that of a text with very
 many copies, first gets a shard of its own, or the sweep would fill few shards up
 to its size and leave the others empty.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,13 +64,24 @@ def minimax(cells: dict[int, int], shards: int) -> tuple[dict[int, int], list[in
         rest = [x for x in rest if x[0] != cell]
     left = shards - len(own)
     sizes = [n for _, n in rest]
-    cap, cuts, held = capacity(sizes, left), [], 0
-    for i, (cell, n) in enumerate(rest):
-        # cut where the capacity is reached, or where only as many cells as shards are left
-        if i and (held + n > cap or len(rest) - i <= left - 1 - len(cuts)):
-            cuts.append(cell)
-            held = 0
-        held += n
+    cap, n = capacity(sizes, left), len(sizes)
+    upto = [0, *accumulate(sizes)]
+    reach = [bisect_right(upto, upto[i] + cap) - 1 for i in range(n + 1)]
+    need = [0] * (n + 1)  # shards that the cells from i on need, checked greedily
+    for i in reversed(range(n)):
+        need[i] = 1 + need[reach[i]]
+    cuts, at = [], 0
+    for more in range(left - 1, 0, -1):
+        # of the cuts that keep within the capacity and leave enough shards, the one nearest to an even share
+        low = max(bisect_left(need, -more, key=lambda x: -x), at)
+        high = max(min(reach[at], n - more), low)
+        share = upto[at] + (upto[-1] - upto[at]) / (more + 1)
+        j = bisect_left(upto, share, low, high)
+        at = j - 1 if j > max(low, at + 1) and share - upto[j - 1] <= upto[j] - share else j
+        if at >= n:
+            break
+        if at:
+            cuts.append(rest[at][0])
     return own, cuts
 
 

@@ -293,7 +293,11 @@ def test_capacity_is_least():
         want = next(c for c in range(max(sizes), sum(sizes) + 1) if need(c) <= k)
         assert sharding.capacity(sizes, k) == want
         own, cuts = sharding.minimax(dict(enumerate(sizes)), k)
-        assert len(own) + len(cuts) + 1 <= k
+        assert len(own) + len(cuts) + 1 <= k and cuts == sorted(set(cuts)) and 0 not in cuts
+        rest = [s for c, s in enumerate(sizes) if c not in own]
+        at = [c for c in range(len(sizes)) if c not in own]
+        loads = [sum(s for c, s in zip(at, rest, strict=True) if lo <= c < hi) for lo, hi in zip([0, *cuts], [*cuts, 99], strict=True)]
+        assert max(loads) <= sharding.capacity(rest, k - len(own))
 
 
 def test_hot_cell_gets_its_own_shard():

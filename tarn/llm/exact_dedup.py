@@ -3,7 +3,8 @@
 Equal texts are found in three stages: within each task, within each of ``SALTS``
 shares of a digest's rows, and over the winners of those shares. Every stage
 groups by the text itself beside its digest. A text with billions of copies
-leaves one row for each task and then one for each salt; no task gathers it.
+leaves one row for each task and then one for each salt; no task gathers it. Rows then
+find their text's winner by its SHA-256 digest, in a join that can be split.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from tarn.llm.store import stash
+from tarn.session import ship, shipped
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", clean), ("exact dedup", distinct), ("n-gram Jaccard join", dissimilar), ("mixing sources", mixed), ("packing", packed)]
+STAGES = [(name, shipped(stage)) for name, stage in STAGES]
 
 #: Not expressible in SQL: a fitted classifier, a tokeniser and an online packing.
 ORACLE_SQL = None
@@ -43,6 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between them a table is written and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
 from tarn.llm import exact_dedup, jaccard_join, lm, mixing, packing, quality, sharding, substring_dedup, toxicity, url_filters
+from tarn.session import shipped
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
+QUERIES = {name: shipped(f) for name, f in QUERIES.items()}
 
 SQL = {
     "op1_url_filters": url_filters.SQL,

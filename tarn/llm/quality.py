@@ -19,8 +19,9 @@ from tarn.llm.text import Words, chunks, grams
 
 #: Words of a repeat that counts.
 MIN_REPEAT = 10
-#: Shares of a text's words: most that repeats may cover, and longest repeat.
-MAX_COVERED, MAX_LONGEST = 0.5, 0.34
+#: Shares of a text's words: most that repeats may cover, and longest repeat. The base rule's 50 % bounds the covered
+#: part, and two copies apart cover twice the longest repeat, so each limit is below half of the one before it.
+MAX_COVERED, MAX_LONGEST = 0.2, 0.08
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True

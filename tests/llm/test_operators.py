@@ -254,6 +254,20 @@ def test_quality(docs, corpus):
             assert r.covered_words == len(runs) and {x for s in r.spans for x in range(s.start, s.end)} == runs
 
 
+def test_repeats_reject_what_the_base_rule_keeps(spark):
+    some = lambda c, n: [f"{c}{k}" for k in range(n)]
+    twice = lambda n, p: [*some("a", n // 2 - p), *some("p", p), *some("b", n - n // 2 - p), *some("p", p)]
+    many = [w for k in range(12) for w in (*some(f"s{k % 4}x", 10), *some(f"t{k}x", 30))]
+    texts = {"clean": some("a", 1000), "passage": twice(1000, 240), "longest": twice(1000, 90), "covered": many, "sentence": twice(300, 13)}
+    got = rows(quality.measure(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id string, text string")))
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == {"clean", "sentence"}
+    share = lambda k: (got[k].covered_words / got[k].n_words, got[k].longest_repeat / got[k].n_words)
+    # each limit decides alone
+    assert share("longest")[0] <= quality.MAX_COVERED and share("longest")[1] > quality.MAX_LONGEST
+    assert share("covered")[0] > quality.MAX_COVERED and share("covered")[1] <= quality.MAX_LONGEST
+
+
 def test_longest_repeats():
     rng = np.random.default_rng(5)
     for _ in range(400):

@@ -4,7 +4,9 @@ Each source is one endless stream: its documents in a hashed order, repeated.
 Golden-ratio points, mapped through the cumulative target shares, name the source
 of every slot of the mix; the j-th slot of a source takes the j-th block of its
 stream. All blocks of a source have the same number of words, so that its slots
-together take its target. A source's position in the stream is a prefix sum over
+together take its target. Documents are joined to the slots that their words are
+in; what the slots take of a document is what the mix takes, and the mixed rows
+come slot by slot. A source's position in the stream is a prefix sum over
 hash buckets and then within a bucket, so that no task gathers a source.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.store import stash
+from tarn.llm.store import buckets, deal, stash
 from tarn.llm.text import WORD, WS
 
 WEIGHTS = (5, 2, 1)
@@ -24,6 +26,8 @@ DIGITS = 3
 #: Slots of the schedule, at least and for each source; their number does not follow the rows.
 SLOTS, SLOTS_PER_SOURCE = 4096, 256
 GOLDEN = 0.6180339887498949
+#: First slot of the sources that none of the points falls to.
+LATE = 1 << 40
 
 
 def words(text: Column) -> Column:
@@ -65,20 +69,18 @@ def schedule(target: DataFrame) -> DataFrame:
     # a source too small for any of the points still gets a slot, after the others
     count = grid.groupBy("place").agg(F.count("*").alias("slots"))
     t = target.join(count, "place", "left")
-    missed = t.where("slots is null and target > 0").select((F.col("place") + (1 << 40)).cast("long").alias("slot"), "place")
+    missed = t.where("slots is null and target > 0").select((F.col("place") + LATE).cast("long").alias("slot"), "place")
     ranked = grid.unionByName(missed).withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("slot")) - 1)
     t = t.select("place", F.round("target").cast("long").alias("words"), F.coalesce("slots", F.lit(1)).alias("slots"))
-    cut = lambda r: F.floor(F.col("words") * r / F.col("slots")).cast("long")
-    return ranked.join(t, "place").select("slot", "place", "rank", cut(F.col("rank")).alias("from_word"), cut(F.col("rank") + 1).alias("to_word"))
+    cut = lambda r: F.expr(f"words * ({r}) div slots")
+    return ranked.join(t, "place").select("slot", "place", "rank", cut("rank").alias("from_word"), cut("rank + 1").alias("to_word"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, cut, taken): what the mix takes of every row.
+def _streamed(df: DataFrame, key: str, text: str, source: str, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every row's place in its source's stream, and the schedule. ``carry`` adds the whole row as ``row``.
 
-    ``copies`` whole passes over the document and ``cut`` of its first words once
-    more make ``taken``. Null texts and texts without words have size 0 and are
-    taken 0 times; a null source is a source of its own; null keys come together.
-    Repeated rows are documents of their own. ``carry`` adds the whole row as ``row``.
+    The row's words are ``[begin, begin + size)`` of each pass over its source; ``words`` of the endless stream
+    are taken, in ``slots`` slots.
     """
     own = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
     d = df.select(*own, F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"))
@@ -86,29 +88,76 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sizes = stash(d.drop("row"), "mix-sizes")  # words are counted once
     d = d if carry else sizes
     t = stash(targets(sizes), "targets")  # one row for each source
-    plan = schedule(t).groupBy("place").agg(F.max("to_word").alias("words"))
-    t = t.join(plan, "place", "left").select(F.col("source").alias("s_source"), "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    plan = stash(schedule(t), "schedule")  # SLOTS_PER_SOURCE rows for each source, and SLOTS
+    total = plan.groupBy("place").agg(F.max("to_word").alias("words"), F.count("*").alias("slots"))
+    t = t.join(total, "place", "left").select(F.col("source").alias("s_source"), "place", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"), "slots")
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    sums = sums.join(t, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "base", "source_size", "target", "words")
+    sums = sums.join(t, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "place", "base", "source_size", "target", "words", "slots")
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     d = d.withColumn("inside", inside)
     d = d.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    begin = F.col("base") + F.col("inside")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
-    over = F.col("words") - copies * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), over - begin)).cast("long")
-    return d.select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), cut.alias("cut"), (copies * F.col("size") + cut).cast("long").alias("taken"))
+    begin = (F.col("base") + F.col("inside")).cast("long").alias("begin")
+    return d.select(*(["row"] if carry else []), "doc_id", "source", "size", "place", "source_size", "target", "words", "slots", begin), plan
+
+
+def _passes(d: DataFrame) -> DataFrame:
+    """A row for each pass that takes words of a document: ``[at, until)`` of its source's endless stream."""
+    d = d.where("size > 0 and begin < words")
+    d = d.withColumn("at", F.explode(F.expr("transform(sequence(0L, (words - begin - 1) div source_size), p -> p * source_size + begin)")))
+    return d.withColumn("until", F.least(F.col("at") + F.col("size"), F.col("words")))
+
+
+def _rank(word: str) -> Column:
+    """Rank of the slot of its source that a word of the endless stream is in: the last with ``words * rank div slots <= word``."""
+    return F.expr(f"(({word}) * slots + slots - 1) div words")
+
+
+def _dealt(d: DataFrame, plan: DataFrame) -> DataFrame:
+    """The parts of ``_passes`` by slot, ``taken`` words of each."""
+    d = _passes(d).withColumn("rank", F.explode(F.sequence(_rank("at"), _rank("until - 1"))))
+    return d.join(plan, ["place", "rank"]).withColumn("taken", F.least("until", "to_word") - F.greatest("at", "from_word"))
+
+
+def dealt(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(slot, doc_id, source, at, taken): the documents of each slot, with the words that the slot takes of them and where these begin in the endless stream of their source."""
+    return _dealt(*_streamed(df, key, text, source)).select("slot", "doc_id", "source", F.greatest("at", "from_word").alias("at"), "taken")
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, cut, taken): what the slots take of every row.
+
+    ``copies`` whole passes over the document and ``cut`` of its first words once
+    more make ``taken``. Null texts and texts without words have size 0 and are
+    taken 0 times; a null source is a source of its own; null keys come together.
+    Repeated rows are documents of their own.
+    """
+    d, plan = _streamed(df, key, text, source)
+    # begin tells the documents of a source apart that have words
+    own = ["doc_id", "source", "size", "source_size", "target", "begin"]
+    some = _dealt(d, plan).groupBy(own).agg(F.sum("taken").alias("taken"))
+    none = d.where("size = 0 or begin >= words").select(*own, F.lit(0).cast("long").alias("taken"))
+    d = some.unionByName(none)
+    return d.select(*own[:-1], F.expr("coalesce(taken div nullif(size, 0), 0L)").alias("copies"), F.expr("coalesce(taken % nullif(size, 0), 0L)").alias("cut"), "taken")
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of the mix, with the columns of ``df``: each row as often as the mix takes it, and where a target ends inside a document its first words once more, joined by single spaces. Rows without words are not in the mix."""
-    m = mix(df, key, text, source, carry=True).where("size > 0")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))
-    again = F.when(F.col("cut") == F.col("size"), F.array(F.lit(-1).cast("long"))).otherwise(F.array("cut"))
-    m = m.select("row", F.explode(F.concat(whole, again)).alias("cut")).where("cut <> 0")
-    part = F.array_join(F.slice(F.filter(F.split(f"row.{text}", WS), lambda w: w != ""), 1, F.greatest("cut", F.lit(1)).cast("int")), " ")
-    now = F.when(F.col("cut") < 0, F.col(f"row.{text}")).otherwise(part)
+    """The rows of the mix in the order of the schedule, with the columns of ``df``.
+
+    Each row is there as often as the mix takes it, and where a target ends inside
+    a document its first words once more, joined by single spaces. A document that
+    several slots share stays whole, in the slot that it begins in. Partitions are
+    ranges of slots, sorted. Rows without words are not in the mix.
+    """
+    d, plan = _streamed(df, key, text, source, carry=True)
+    n = buckets(df.sparkSession)
+    m = _passes(d).withColumn("rank", _rank("at")).join(plan.select("place", "rank", "slot"), ["place", "rank"])
+    # slots take about as many words each; those after the others go last
+    last = plan.where(F.col("slot") < LATE).agg(F.max("slot") + 1)
+    m = m.withColumn("range", F.least(F.floor(F.col("slot") * n / last.scalar()), F.lit(n - 1)).cast("int"))
+    m = deal(m.select("row", "range", "slot", "at", (F.col("until") - F.col("at")).alias("cut"), "size"), n, "range").sortWithinPartitions("slot", "at")
+    part = F.array_join(F.slice(F.filter(F.split(f"row.{text}", WS), lambda w: w != ""), 1, F.col("cut").cast("int")), " ")
+    now = F.when(F.col("cut") == F.col("size"), F.col(f"row.{text}")).otherwise(part)
     return m.select(*(now.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 

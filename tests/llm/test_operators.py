@@ -76,6 +76,35 @@ def test_mixing(docs, corpus):
     assert sum(len(words(r.text)) for r in again.collect()) == sum(taken.values())
 
 
+def test_mixed_follows_the_schedule(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7) if i % 50 else None, "abc"[i * i % 3] if i % 11 else None) for i in range(3000)], "doc_id long, text string, source string")
+    parts = mixing.dealt(docs).collect()
+    taken = Counter()
+    for r in parts:
+        assert r.taken > 0
+        taken[r.doc_id] += r.taken
+    got = rows(mixing.mix(docs))
+    assert {i: r.taken for i, r in got.items() if r.taken} == taken
+    # the parts of a source, slot by slot, are its stream without a gap
+    at = Counter()
+    for r in sorted(parts, key=lambda r: (r.slot, r.at)):
+        assert r.at == at[r.source]
+        at[r.source] += r.taken
+    mixed, there = mixing.mixed(docs).collect(), Counter()
+    for r in mixed:
+        there[r.doc_id] += len(words(r.text))
+    assert there == taken
+    # any stretch of the rows has each source's share
+    share = Counter()
+    for r in got.values():
+        share[r.source] += r.taken / sum(taken.values())
+    c, n = Counter(), 0
+    for r in mixed:
+        c[r.source] += len(words(r.text))
+        n += len(words(r.text))
+        assert all(abs(c[s] - n * p) < 60 for s, p in share.items())
+
+
 def test_schedule_is_spread(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 1000), ("c", 1000)], "source string, size long")
     s = mixing.schedule(mixing.targets(sizes)).orderBy("slot").collect()

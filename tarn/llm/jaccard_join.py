@@ -263,12 +263,17 @@ SETS = "node long, size long, shingles binary"
 
 
 def _sets(shingle: int):
+    """The set of each text's shingles, once for each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for _, _, w in chunks(b.column(0)):
-                got = [s for s in (shingles(w.of(i), shingle) for i in range(len(w))) if len(s)]
+                got = {node_of(s): s for s in (shingles(w.of(i), shingle) for i in range(len(w))) if len(s)}
+                got = {x: s for x, s in got.items() if x not in seen}
+                seen.update(got)
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "size", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([len(s) for s in got.values()], pa.int64()), pa.array([s.tobytes() for s in got.values()], pa.binary())], names=["node", "size", "shingles"])
 
     return run
 
@@ -462,9 +467,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     pairs = _plausible(pairs, info, percent, F.greatest("sa", "sb") >= 0)
     pairs = stash(pairs, "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(open_nodes).distinct()
-    need = info.join(need, "node", "left_semi").where("rep is not null").select(F.col("rep").alias("key")).distinct()
-    texts = docs.join(need, "key", "left_semi").select("text")
-    sets = stash(texts.mapInArrow(_sets(shingle), SETS), "sets")
+    need = info.join(need, "node", "left_semi").select("node", F.col("rep").alias("key")).distinct()
+    texts = docs.join(need.where("key is not null").select("key").distinct(), "key", "left_semi").select("text")
+    # nodes whose rows all have no id are found among these
+    unnamed = docs.where("key is null").select("text").mapInArrow(_sets(shingle), SETS).join(need.where("key is null").select("node"), "node", "left_semi")
+    sets = stash(texts.mapInArrow(_sets(shingle), SETS).unionByName(unnamed), "sets")
     sets = sets.dropDuplicates(["node"]) if _repeats(sets) else sets
 
     singles = sets.join(open_nodes, "node", "left_semi").mapInArrow(_singles(n), "bucket int, sig binary, sig_node binary")

@@ -54,6 +54,17 @@ def test_odd_rows(spark, odd, name):
         assert set(odd.columns) == set(out[0].asDict())
 
 
+@pytest.mark.parametrize("group", [jaccard_join.GROUP, 2])
+def test_join_links_rows_without_id(spark, group):
+    w = [f"w{i}" for i in range(100)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    # 1 and 2 are linked only through the text without an id
+    rows = [(1, near(5, 25)), (None, near()), (None, near()), (2, near(75, 95)), (None, "alone " + near(*range(40))), (None, " ".join(f"y{i}" for i in range(60))), (None, " ".join(f"y{i}" for i in range(61)))]
+    out = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
+    assert len(out) == len(rows)
+    assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in out if r.component_id is not None) == [(False, 1, 1), (False, 2, 1), (True, None, 1), (True, None, 1)]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, odd, name, tmp_path):
     odd.limit(0).write.parquet(str(tmp_path / "none"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tarn.dims import TREE_LABELS
 from tarn.functions import pixel
+from tarn.operators import polygons as polygons_data
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,10 @@ WATER2 = _hue_ndvi(
 )
 # Brightness below which the clusters hold, hue above which confusion 2d holds, thermal range.
 WATER_VAL, HUE2_2D, THERMAL = 0.62, 238, (264, 310)
-#: Polygon rules of the confusion and cloud tests; they are long, so they are given as a parameter (see ``load_polygons``).
-CONFUSIONS = ("confusion1a", "confusion1b", "confusion2a", "confusion2b", "confusion2c", "confusion3a", "confusion3b", "confusion4a", "confusion4b", "clouds")
+#: Polygon rules of the confusion and cloud tests.
+CONFUSIONS = tuple(rule for rule, *_ in polygons_data.USED)
+#: Their polygons, and those of the rules that the mask does not use.
+BUILT_IN, OPTIONAL = ({rule: [[HalfPlane(y, op, x, a, b) for op, a, b in p] for p in polygons] for rule, y, x, polygons in data} for data in (polygons_data.USED, polygons_data.OPTIONAL))
 
 
 def load_polygons(source: str | list[dict]) -> dict[str, Polygons]:
@@ -108,10 +111,11 @@ def predicates(polygons: dict[str, Polygons] | None = None, thermal: bool = Fals
 def water_mask(polygons: dict[str, Polygons] | None = None, thermal: bool = False, cloud: Column | None = None) -> Column:
     """1 water, 0 other, -1 invalid, -2 cloud.
 
-    With all confusion rules: ((water1 or water2) xor water3) and one of each group
-    of confusions. Without them, the water clusters alone; some but not all is an
-    error.
+    ((water1 or water2) xor water3) and one of each group of confusions, by the
+    built-in polygons unless others are given. With ``{}``, the water clusters
+    alone; some but not all rules are an error.
     """
+    polygons = BUILT_IN if polygons is None else polygons
     p = predicates(polygons, thermal)
     mask = (p["water1"] | p["water2"]) != p["water3"]
     if polygons:

@@ -169,7 +169,7 @@ def water_clusters(t, spark):
     e = F.col("embedding")
     one = lambda i: e[i].cast("double")
     d = t("embeddings").select("vec_id", ((e[0] + F.lit(1.0)).cast("double") / 8).alias("nir"), ((e[1] + F.lit(1.0)).cast("double") / 4).alias("red"), (e[2] + F.lit(1.0)).cast("double").alias("green"), ((one(3) + 1) / 4).alias("blue"), ((one(4) + 1) / 4).alias("swir1"), ((one(5) + 0.5) / 4).alias("swir2"))
-    return rules.classify_water(d, "landsat-8").select("vec_id", "mask")
+    return rules.classify_water(d, "landsat-8", {}).select("vec_id", "mask")
 
 
 @query(FRAMES + """ SELECT a.vec_id, a.y, a.x, round(CASE WHEN count(*) = 25 THEN avg(CAST(b.v AS DOUBLE)) END, 5) AS mean FROM f a JOIN f b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL""")

@@ -139,6 +139,23 @@ def test_water_mask(spark):
         rules.water_mask({"clouds": []})
 
 
+def test_built_in_polygons(spark):
+    count = {r: len(p) for r, p in (rules.BUILT_IN | rules.OPTIONAL).items()}
+    assert count == {"confusion1a": 5, "confusion1b": 5, "confusion2a": 8, "confusion2b": 9, "confusion2c": 2, "confusion3a": 6, "confusion3b": 4, "confusion4a": 3, "confusion4b": 2, "clouds": 7, "confusion5a": 14, "confusion5b": 5, "confusion5c": 7}
+    rng = np.random.default_rng(2)
+    names = ("nir", "red", "green", "blue", "swir1", "swir2", "tirs1")
+    px = [tuple(map(float, r)) for r in np.c_[rng.uniform(0.001, 0.4, (4000, 6)) * rng.choice([0.1, 0.3, 1], (4000, 1)), rng.uniform(250, 320, 4000)]]
+    d = spark.createDataFrame(px, ", ".join(f"{n} double" for n in names))
+    for thermal in (False, True):
+        b = rules.water_bands(d, rescale=False)
+        got = b.withColumn("got", rules.water_mask(thermal=thermal)).withColumn("alone", rules.water_mask({}, thermal)).collect()
+        for r in got:
+            ok = lambda name: any(all((r[h.y] < h.a * r[h.x] + h.b) if h.op == "<" else (r[h.y] > h.a * r[h.x] + h.b) for h in p) for p in rules.BUILT_IN[name])  # noqa: B023, E731
+            groups = ok("confusion1a") or ok("confusion1b"), ok("confusion2a") or ok("confusion2b") or ok("confusion2c") or r.hue2 > 238, any(map(ok, ("confusion3a", "confusion3b", "confusion4a", "confusion4b"))), not thermal or 264 < r.tirs1 < 310 or ok("clouds")
+            assert r.got == int(r.alone == 1 and all(groups))
+        assert 0 < sum(r.got for r in got) < sum(r.alone for r in got)
+
+
 def test_polygon_parameter(spark):
     text = "\n".join(f'{{"rule": "{r}", "polygon": 0, "y": "val", "op": ">", "x": "sat", "a": 0, "b": -1}}' for r in rules.CONFUSIONS)
     poly = rules.load_polygons(text)

@@ -395,30 +395,34 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.r_[at, len(a)]).astype(np.int64))], names=["a", "b", "c"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(percent: int):
     """(a, b): pairs that share a prefix's element, with different labels and frequent parts and sizes that allow a link; each at its least common element only."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            every = np.frombuffer(r["every"], "<u8")
-            for k in np.frombuffer(r["prefix"], "<u8").tolist():
-                held.setdefault(k, []).append((r["label"], r["node"], r["size"], r["rest"], r["digest"], every))
-    for k, members in held.items():
-        if len({m[0] for m in members}) < 2:
-            continue
-        m = np.array([x[:5] for x in members], np.int64)
-        before = [x[5][x[5] < np.uint64(k)] for x in members]  # what they might have met at already
-        element, column = np.unique(np.concatenate(before), return_inverse=True)
-        has = np.zeros((len(members), len(element)), np.float32)
-        has[np.repeat(np.arange(len(members)), [len(x) for x in before]), column] = 1
-        for i in range(len(m) - 1):
-            o, own = m[i + 1 :], m[i]
-            both = np.minimum(own[2] - own[3], o[:, 2] - o[:, 3])
-            ok = (o[:, 0] != own[0]) & (o[:, 4] != own[4]) & ((100 + PERCENT) * both >= PERCENT * (own[2] + o[:, 2]))
-            if ok.any():
-                ok &= has[i + 1 :] @ has[i] == 0
-                other = o[ok, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[1], other)), pa.array(np.maximum(own[1], other))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                every = np.frombuffer(r["every"], "<u8")
+                for k in np.frombuffer(r["prefix"], "<u8").tolist():
+                    held.setdefault(k, []).append((r["label"], r["node"], r["size"], r["rest"], r["digest"], every))
+        for k, members in held.items():
+            if len({m[0] for m in members}) < 2:
+                continue
+            m = np.array([x[:5] for x in members], np.int64)
+            before = [x[5][x[5] < np.uint64(k)] for x in members]  # what they might have met at already
+            element, column = np.unique(np.concatenate(before), return_inverse=True)
+            has = np.zeros((len(members), len(element)), np.float32)
+            has[np.repeat(np.arange(len(members)), [len(x) for x in before]), column] = 1
+            for i in range(len(m) - 1):
+                o, own = m[i + 1 :], m[i]
+                both = np.minimum(own[2] - own[3], o[:, 2] - o[:, 3])
+                ok = (o[:, 0] != own[0]) & (o[:, 4] != own[4]) & ((100 + percent) * both >= percent * (own[2] + o[:, 2]))
+                if ok.any():
+                    ok &= has[i + 1 :] @ has[i] == 0
+                    other = o[ok, 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[1], other)), pa.array(np.maximum(own[1], other))], names=["a", "b"])
+
+    return run
 
 
 def _similar(percent: int):
@@ -502,7 +506,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     label = stash(components(links), "labels")
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     named = rest.join(of("node"), "node", "left").select("node", "size", "rest", "digest", "prefix", F.coalesce("lnode", "node").alias("label"))
-    across = _by_element(named, n).mapInArrow(_across, "a long, b long")
+    across = _by_element(named, n).mapInArrow(_across(percent), "a long, b long")
     more = stash(verified(across.distinct(), sets, percent), "links")
     label = stash(components(links.unionByName(more)), "labels")
 

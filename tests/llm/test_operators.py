@@ -209,6 +209,15 @@ def links(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_pairs_across_components_follow_percent():
+    import pyarrow as pa
+
+    every = np.arange(7, dtype="<u8").tobytes()
+    members = [{"label": i, "node": i, "size": 10, "rest": 3, "digest": i, "every": every, "prefix": every[:24]} for i in (1, 2)]
+    found = lambda percent: [r for b in jaccard_join._across(percent)([pa.RecordBatch.from_pylist(members)]) for r in b.to_pylist() if r]
+    assert found(50) == [{"a": 1, "b": 2}] and found(75) == []
+
+
 @pytest.mark.parametrize("group", [jaccard_join.GROUP, 2])
 def test_jaccard_join(docs, corpus, group):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, group=group).collect()}

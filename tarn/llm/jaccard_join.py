@@ -456,7 +456,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     Sets are compared by 64-bit hashes of their shingles.
     """
     spark = df.sparkSession
-    n = buckets(spark)
+    n = buckets(df)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     met = stash(deal(docs.mapInArrow(_send(n, shingle, percent), SENT), n).mapInArrow(_meet(group), GOT), "signatures")
     reclaim(spark)

@@ -150,7 +150,7 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ranges of slots, sorted. Rows without words are not in the mix.
     """
     d, plan = _streamed(df, key, text, source, carry=True)
-    n = buckets(df.sparkSession)
+    n = buckets(df)
     m = _passes(d).withColumn("rank", _rank("at")).join(plan.select("place", "rank", "slot"), ["place", "rank"])
     # slots take about as many words each; those after the others go last
     last = plan.where(F.col("slot") < LATE).agg(F.max("slot") + 1)

@@ -242,8 +242,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     nothing. Of rows that repeat a key and words, one keeps them. Extra columns
     are not carried.
     """
-    n = buckets(df.sparkSession)
-    rows = with_unit(df, [F.col(text).alias("text"), F.col(key).cast("long").alias("key")])
+    n = buckets(df)
+    rows = with_unit(df, [F.col(text).alias("text"), F.col(key).cast("long").alias("key")], text)
     asked = deal(rows.select("unit", "text").mapInArrow(_ask(n, window, seed), "unit long, bucket int, keys binary, counts binary"), n).mapInArrow(_repeated, ANSWER)
     extend, close = _extend(n, window, seed, texts), _close(window, texts)
     found = rows.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(lambda a, b: extend(a, b), FOUND)

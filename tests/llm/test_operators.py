@@ -115,29 +115,61 @@ def test_schedule_is_spread(spark):
             assert abs(c[p] - n * t[p] / sum(t.values())) <= 6
 
 
-def test_lm_scoring(docs, corpus):
+@pytest.mark.parametrize("order", [1, lm.ORDER, 3])
+def test_lm_scoring(docs, corpus, order):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    got = rows(lm.score(docs, train))
+    got = rows(lm.score(docs, train, order=order))
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c, b = Counter(), Counter()
+    c, after = Counter(), Counter()  # n-grams; and how often a history was followed by a word
     for i, t, _ in corpus:
         if not held(i):
-            x = [*words(t, True), None]
-            c.update(x)
-            b.update(zip([0, *x[:-1]], x, strict=True))
-    n, v = sum(c.values()), len(c)
-    once, twice = sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+            x = [0, *words(t, True), None]
+            for k in range(1, order + 1):
+                for at in range(len(x) - k + 1):
+                    if k > 1 or at:
+                        c[tuple(x[at : at + k])] += 1
+                        after[tuple(x[at : at + k - 1])] += 1
+    single = {k: v for k, v in c.items() if len(k) == 1}
+    n, v = sum(single.values()), len(single)
+    once, twice = sum(k == 1 for k in single.values()), sum(k == 2 for k in single.values())
     d = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+
+    def p(h, w):
+        if not h:
+            return (c[w,] - d) / n if c[w,] else d * v / n
+        return (c[(*h, w)] + lm.MU * p(h[1:], w)) / (after[h] + lm.MU)
+
     for i, t, _ in corpus:
-        x = [*words(t, True), None]
-        p = lambda w: (c[w] - d) / n if c[w] else d * v / n
-        score = sum(math.log10((b[h, w] + lm.MU * p(w)) / ((c[None] if h == 0 else c[h]) + lm.MU)) for h, w in zip([0, *x[:-1]], x, strict=True))
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x)
+        x = [0, *words(t, True), None]
+        score = sum(math.log10(p(tuple(x[max(0, k - order + 1) : k]), x[k])) for k in range(1, len(x)))
+        base = sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in x[1:])
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(x), sum(c[w] > 0 for w in x), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(x) - 1, sum(c[w,] > 0 for w in x[1:]), n)
         assert r.score == pytest.approx(score, abs=1e-6) and r.base_score == pytest.approx(base, abs=1e-6)
 
 
+def test_lm_segments_and_wide_counts():
+    """Segments of any length give the same scores, and counts beyond 32 bits are kept."""
+    import pyarrow as pa
+
+    texts = ["a b a b c", "", "b a", " ".join("abcde"[k * k % 5] for k in range(40))]
+    t, first = lm.tokens(pa.array(texts))
+    levels = lm.ngrams(t, first, 3)
+    counts = [np.unique(h[h != 0], return_counts=True)[1].astype(np.int64) for h in levels]
+    counts[1][::3] = 0
+    counts[2][::2] = 0
+    a = lm.Automaton(levels, first, counts, len(t), len(counts[0]), 0.5, 2.0)
+    whole = a.read(first, 3, 1 << 20)
+    for segment in (2, 3, 7):
+        assert a.read(first, 3, segment) == pytest.approx(whole)
+    many = np.array([0, 1, 2**32 - 1, 2**32 + 5, 2**50], np.int64)
+    assert np.array_equal(lm.unplanes(lm.planes(many)).astype(np.int64), many)
+    sent = {"unit": 1, "bucket": 0, "level": 0, "keys": lm.packed(np.array([7, 9], np.uint64)), "counts": lm.planes(np.array([2**32 - 1, 3]))}
+    batch = pa.RecordBatch.from_pylist([sent, sent | {"unit": 2}], pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    for r in [r for b in lm._answer([batch]) for r in b.to_pylist()]:
+        assert lm.unplanes(r["counts"]).tolist() == [2 * (2**32 - 1), 6]
+
+
 def check_pieces(pieces, texts, window=1024):
     import public_tokenizers
     from tokenizers import Tokenizer

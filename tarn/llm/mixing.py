@@ -57,15 +57,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def schedule(target: DataFrame) -> DataFrame:
-    """(slot, place, rank, from_word, to_word): which words of which source's endless stream fill each slot."""
-    w = Window.orderBy("place")
-    t = target.withColumn("upto", F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = t.agg(F.array_sort(F.collect_list(F.struct("place", "upto"))).alias("b")).select(F.transform("b", lambda e: e["upto"]).alias("b"))
-    n = target.agg((F.count("*") * SLOTS_PER_SOURCE + SLOTS).alias("n"))
-    grid = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    x = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0)) * F.element_at(F.col("b"), -1)
-    grid = grid.withColumn("b", bounds.scalar()).withColumn("x", x)
-    grid = grid.select("slot", F.least(F.size(F.filter("b", lambda e: e <= F.col("x"))), F.size("b") - 1).alias("place"))
+    """(slot, place, rank, from_word, to_word): which words of which source's endless stream fill each slot.
+
+    A point finds its source by the cell that it is in: there are as many cells as
+    sources and slots, and a source lists those that its share of the targets covers.
+    """
+    w = Window.orderBy("place")  # one row for each source
+    t = target.withColumn("above", F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumns({"below": F.coalesce(F.lag("above").over(w), F.lit(0.0)), "all": F.max("above").over(everything), "n": F.count(F.lit(1)).over(everything) * SLOTS_PER_SOURCE + SLOTS})
+    cell = lambda v: F.least(F.floor(F.try_divide(F.col(v) * F.col("n"), F.col("all"))), F.col("n") - 1)
+    shares = t.where("target > 0").select("place", "below", "above", "all", F.explode(F.sequence(cell("below"), cell("above"))).alias("cell"))
+    grid = t.agg(F.max("n").alias("n"), F.max("all").alias("all")).select("n", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    grid = grid.withColumn("x", F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0)) * F.col("all")).select("slot", "x", cell("x").alias("cell"))
+    # the last point may round to the sum of the targets
+    inside = (F.col("x") >= F.col("below")) & ((F.col("x") < F.col("above")) | (F.col("above") == F.col("all")))
+    grid = grid.join(shares, "cell").where(inside).select("slot", "place")
     # a source too small for any of the points still gets a slot, after the others
     count = grid.groupBy("place").agg(F.count("*").alias("slots"))
     t = target.join(count, "place", "left")
@@ -83,7 +90,7 @@ def _streamed(df: DataFrame, key: str, text: str, source: str, carry: bool = Fal
     are taken, in ``slots`` slots.
     """
     own = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
-    d = df.select(*own, F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"))
+    d = df.select(*own, F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary")).alias("h"), F.xxhash64(F.col(text)).alias("x"))
     d = d.withColumn("bucket", F.substring("h", 1, DIGITS))
     sizes = stash(d.drop("row"), "mix-sizes")  # words are counted once
     d = d if carry else sizes
@@ -94,7 +101,7 @@ def _streamed(df: DataFrame, key: str, text: str, source: str, carry: bool = Fal
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     sums = sums.join(t, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "place", "base", "source_size", "target", "words", "slots")
-    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     d = d.withColumn("inside", inside)
     d = d.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     begin = (F.col("base") + F.col("inside")).cast("long").alias("begin")
@@ -129,8 +136,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     ``copies`` whole passes over the document and ``cut`` of its first words once
     more make ``taken``. Null texts and texts without words have size 0 and are
-    taken 0 times; a null source is a source of its own; null keys come together.
-    Repeated rows are documents of their own.
+    taken 0 times; a null source is a source of its own; rows with a null key are
+    placed by their text. Repeated rows are documents of their own; rows that repeat
+    a key are ordered by size and text, so that reruns agree. Extra columns are not
+    carried, whatever their names; an empty table gives no row. Of a text only the
+    number of its words counts, however long it is.
     """
     d, plan = _streamed(df, key, text, source)
     # begin tells the documents of a source apart that have words
@@ -147,7 +157,9 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     Each row is there as often as the mix takes it, and where a target ends inside
     a document its first words once more, joined by single spaces. A document that
     several slots share stays whole, in the slot that it begins in. Partitions are
-    ranges of slots, sorted. Rows without words are not in the mix.
+    ranges of slots, sorted. Rows without words are not in the mix. Null sources,
+    null and repeated keys as in ``mix``; extra columns are carried, whatever their
+    names; an empty table gives no row.
     """
     d, plan = _streamed(df, key, text, source, carry=True)
     n = buckets(df)
@@ -168,7 +180,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM s),

@@ -99,7 +99,8 @@ BUCKET_BYTES = 16 << 20
 def buckets(df: DataFrame) -> int:
     """Buckets for packed arrays made from ``df``: in proportion to its size as read, so that a bucket's arrays fit a task, and no fewer than the session's shuffle partitions."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 62)  # more stands for an unknown size
     least = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(math.ceil(size / BUCKET_BYTES), 1 << 20))
 

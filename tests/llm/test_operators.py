@@ -347,7 +347,25 @@ def test_longest_repeats():
         assert quality.longest_repeats(a).tolist() == want
 
 
-def test_sharding(docs, corpus):
+def least_capacity(sizes, shards):
+    """By trying every sum of neighbours."""
+
+    def need(cap):
+        n, held = 1, 0
+        for s in sizes:
+            if held + s > cap:
+                n, held = n + 1, 0
+            held += s
+        return n
+
+    sums = sorted({sum(sizes[i:j]) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1)})
+    return next(c for c in sums if c >= max(sizes) and need(c) <= shards)
+
+
+@pytest.mark.parametrize("ranges", [2, 8, sharding.RANGES])
+def test_sharding(docs, corpus, monkeypatch, ranges):
+    """Shards are the minimax partition of the groups themselves, however few ranges the driver sees at once."""
+    monkeypatch.setattr(sharding, "RANGES", ranges)
     got = rows(sharding.shard(docs, shards=7))
     by, texts = defaultdict(list), defaultdict(set)
     for i, t, _ in corpus:
@@ -358,6 +376,14 @@ def test_sharding(docs, corpus):
     assert all(len(s) == 1 for s in texts.values())
     for parts in by.values():
         assert sorted(r.slot for r in parts) == list(range(len(parts)))
+    groups = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("size")).groupBy("h").agg(F.sum("size").alias("size")).orderBy("h").collect()
+    own = sharding.own_shards(sorted(((g.h, g.size) for g in groups), key=lambda g: -g[1]), sum(g.size for g in groups), 7)
+    rest = [g for g in groups if g.h not in own]
+    cap = least_capacity([g.size for g in rest], 7 - len(own))
+    assert all(sum(r.size for r in by[s]) <= cap for s in range(len(own), 7))
+    cuts = sharding.even_cuts([g.size for g in rest], 7 - len(own), cap)
+    found, edges = sharding.partition(docs.sparkSession.createDataFrame(groups), 7)
+    assert found == own and [sum(g.h < e for g in rest) for e in edges] == cuts
 
 
 def test_capacity_is_least():
@@ -375,21 +401,18 @@ def test_capacity_is_least():
             return shards
 
         want = next(c for c in range(max(sizes), sum(sizes) + 1) if need(c) <= k)
-        assert sharding.capacity(sizes, k) == want
-        own, cuts = sharding.minimax(dict(enumerate(sizes)), k)
-        assert len(own) + len(cuts) + 1 <= k and cuts == sorted(set(cuts)) and 0 not in cuts
-        rest = [s for c, s in enumerate(sizes) if c not in own]
-        at = [c for c in range(len(sizes)) if c not in own]
-        loads = [sum(s for c, s in zip(at, rest, strict=True) if lo <= c < hi) for lo, hi in zip([0, *cuts], [*cuts, 99], strict=True)]
-        assert max(loads) <= sharding.capacity(rest, k - len(own))
-
-
-def test_hot_cell_gets_its_own_shard():
-    cells = {i: 10 for i in range(100)} | {50: 500}
-    own, cuts = sharding.minimax(cells, 5)
-    assert own == {50: 0} and len(cuts) == 3
-    edges = [0, *cuts, 100]
-    load = [sum(v for c, v in cells.items() if a <= c < b and c != 50) for a, b in zip(edges, edges[1:], strict=False)]
+        assert sharding.capacity(sizes, k) == want == least_capacity(sizes, k)
+        cuts = sharding.even_cuts(sizes, k, want)
+        assert len(cuts) + 1 <= k and cuts == sorted(set(cuts)) and 0 not in cuts
+        assert max(sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)) <= want
+
+
+def test_hot_group_gets_its_own_shard(spark):
+    sizes = [(i << 40, 500 if i == 50 else 10) for i in range(100)]
+    own, cuts = sharding.partition(spark.createDataFrame(sizes, "h long, size long"), 5)
+    assert own == [50 << 40] and len(cuts) == 3
+    edges = [0, *cuts, 100 << 40]
+    load = [sum(v for c, v in sizes if a <= c < b and c not in own) for a, b in zip(edges, edges[1:], strict=False)]
     assert max(load) - min(load) <= 20
 
 

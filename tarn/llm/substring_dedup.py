@@ -4,12 +4,17 @@ Seeds are winnowed anchors: of the runs of ``SEED`` words inside each window of
 ``WINDOW`` words, the one with the least hash. A window's seed depends on its words
 alone, so equal windows have equal seeds. Documents meet on their seeds: units of
 rows (see ``units``) ask for which of their seeds the corpus has another
-occurrence. Only there are matches extended: a window that lies around a repeated
-seed is the seed extended both ways to full length, and is compared with the
-windows of the seed's other occurrences, first within the unit and then, one for
-each unit, between units. A window whose words also start earlier is removed; the
-union of such windows is what maximal repeats of at least ``WINDOW`` words cover,
-their first occurrence left standing.
+occurrence. Only there are matches extended, both ways: every window of full length
+around a repeated seed is compared with those around the seed's other occurrences,
+first within the unit and then, one for each unit, between units. Windows that
+match at consecutive places are one longer match; ``spans`` are these, joined where
+they touch, so that each is maximal: it covers what repeats of at least ``WINDOW``
+words that start earlier cover, and no word can be added at either end. The first
+occurrence of a repeat is left standing.
+
+Windows between units are dealt by the hash of the whole window, so that neither a
+hot seed nor a long passage is gathered: a task gets a window once from each unit
+that has it.
 
 Words are compared by 64-bit hashes of the window beside 64-bit hashes of its seed.
 """
@@ -101,7 +106,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ANSWER = "unit long, bucket int, n long, bits binary"
-PARTS = ("seeds", "docs", "rows", "pos", "cnt", "full")
+PARTS = ("full", "seeds", "docs", "rows", "pos")
 FOUND = "unit long, row long, key long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string, pending string, removed binary, bucket int, " + ", ".join(f"{p} binary" for p in PARTS)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ARROW = [("unit", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", _SPANS), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("pending", pa.string()), ("removed", pa.binary()), ("bucket", pa.int32()), *((p, pa.binary()) for p in PARTS)]
@@ -154,15 +159,11 @@ def _extend(n: int, window: int, seed: int, texts: bool):
         out: list[dict] = []
         if first.any():
             r, p, s, x = row[first], pos[first], a[first], f[first]
-            head = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1])])
-            cnt = np.diff(np.r_[head, len(r)])
-            o = np.argsort(s[head], kind="stable")
-            flat = np.concatenate([np.arange(h, h + c) for h, c in zip(head[o], cnt[o], strict=True)])
-            ends = np.r_[0, np.cumsum(cnt[o])]
+            o = np.argsort(x, kind="stable")
+            r, p, s, x = r[o], p[o], s[o], x[o]
             ids = np.array(keys, np.int64)
-            for b, lo, hi in cuts(s[head][o], n):
-                h = head[o][lo:hi]
-                out.append({"unit": 0, "bucket": b, "seeds": s[h].tobytes(), "docs": ids[r[h]].tobytes(), "rows": r[h].astype("<u4").tobytes(), "pos": p[h].astype("<u4").tobytes(), "cnt": cnt[o][lo:hi].astype("<u4").tobytes(), "full": x[flat[ends[lo] : ends[hi]]].tobytes()})
+            for b, lo, hi in cuts(x, n):
+                out.append({"unit": 0, "bucket": b, "full": packed(x[lo:hi]), "seeds": s[lo:hi].tobytes(), "docs": ids[r[lo:hi]].tobytes(), "rows": r[lo:hi].astype("<u4").tobytes(), "pos": p[lo:hi].astype("<u4").tobytes()})
         waits = np.zeros(len(keys), bool)
         waits[row[first]] = True
         gone_row, gone_pos = row[~first], pos[~first]
@@ -186,32 +187,26 @@ def _extend(n: int, window: int, seed: int, texts: bool):
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal windows of one seed, all but the one with the smallest (document, start) are marked for removal."""
-    held: list[tuple] = []
-    for b in batches:
-        held += zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)
+    """Of equal windows, all but the one with the smallest (document, start) are marked for removal."""
     by: dict[int, list] = {}
-    for x in held:
-        by.setdefault(x[1], []).append(x)
-    for bucket, parts in by.items():
+    for b in batches:
+        for x in zip(*(b.column(i).to_pylist() for i in range(2 + len(PARTS))), strict=True):
+            by.setdefault(x[1], []).append(x)
+    while by:
+        _, parts = by.popitem()
         parts.sort(key=lambda x: x[0])
-        cnt = [np.frombuffer(x[6], "<u4").astype(np.int64) for x in parts]
-        each = np.concatenate(cnt)
-        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        spread = lambda i, t: np.repeat(np.concatenate([np.frombuffer(x[i], t) for x in parts]), each)
-        seed, doc, pos = spread(2, "<u8"), spread(3, "<i8"), spread(5, "<u4").astype(np.int64) + inside
-        full = np.concatenate([np.frombuffer(x[7], "<u8") for x in parts])
-        order = np.lexsort((pos, doc, full, seed))
+        full = [unpacked(x[2]) for x in parts]
+        ends = np.cumsum([0, *map(len, full)])
+        full = np.concatenate(full)
+        seed, doc, pos = (np.concatenate([np.frombuffer(x[i], t) for x in parts]) for i, t in ((3, "<u8"), (4, "<i8"), (6, "<u4")))
+        order = np.lexsort((pos, doc, seed, full))
         later = np.zeros(len(full), bool)
         later[order[1:]] = (seed[order][1:] == seed[order][:-1]) & (full[order][1:] == full[order][:-1])
-        at = 0
-        for x, c in zip(parts, cnt, strict=True):
-            n = int(c.sum())
-            gone = later[at : at + n]
-            rows = np.repeat(np.frombuffer(x[4], "<u4"), c)[gone]
-            starts = pos[at : at + n][gone].astype("<u4")
-            at += n
-            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([rows.astype("<u4").tobytes()], pa.binary()), pa.array([starts.tobytes()], pa.binary())], names=["unit", "rows", "starts"])
+        for x, lo, hi in zip(parts, ends, ends[1:], strict=False):
+            gone = later[lo:hi]
+            if gone.any():
+                rows = np.frombuffer(x[5], "<u4")[gone]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([rows.tobytes()], pa.binary()), pa.array([pos[lo:hi][gone].astype("<u4").tobytes()], pa.binary())], names=["unit", "rows", "starts"])
 
 
 def _close(window: int, texts: bool):
@@ -239,20 +234,23 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
 
     ``spans`` are the removed word ranges. Keys are integers; rows with a null key
     come after all others. Null texts and texts shorter than a window lose
-    nothing. Of rows that repeat a key and words, one keeps them. Extra columns
-    are not carried.
+    nothing; a text of any length is read whole. Of rows that repeat a key and
+    words, one keeps them. Extra columns are not carried, whatever their names; an
+    empty table gives no row.
     """
     n = buckets(df)
     rows = with_unit(df, [F.col(text).alias("text"), F.col(key).cast("long").alias("key")], text)
     asked = deal(rows.select("unit", "text").mapInArrow(_ask(n, window, seed), "unit long, bucket int, keys binary, counts binary"), n).mapInArrow(_repeated, ANSWER)
     extend, close = _extend(n, window, seed, texts), _close(window, texts)
-    found = rows.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(lambda a, b: extend(a, b), FOUND)
+    # both sides are dealt by unit into as many tasks as the input has buckets
+    grouped = lambda d: d.repartition(n, "unit").groupBy("unit")
+    found = grouped(rows).cogroup(grouped(asked)).applyInArrow(lambda a, b: extend(a, b), FOUND)
     found = stash(found, "substrings")
     reclaim(df.sparkSession)
     blobs = found.where("bucket is not null").select("unit", "bucket", *PARTS)
     later = deal(blobs, n).mapInArrow(_first, "unit long, rows binary, starts binary")
     waiting = found.where("pending is not null").select("unit", "row", "key", "pending", "removed")
-    closed = waiting.groupBy("unit").cogroup(later.groupBy("unit")).applyInArrow(lambda a, b: close(a, b), RESULT)
+    closed = grouped(waiting).cogroup(grouped(later)).applyInArrow(lambda a, b: close(a, b), RESULT)
     out = found.where("kept_sha256 is not null").select(*_RESULT).unionByName(closed)
     return out.withColumnRenamed("key", key)
 

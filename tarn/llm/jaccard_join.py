@@ -4,14 +4,18 @@ A document is the set of its hashed ``SHINGLE``-word shingles; documents with eq
 sets are one node. Sets of sizes s and t with a Jaccard similarity of at least
 ``PERCENT`` % differ in at most k = (s + t) (100 - PERCENT) / (100 + PERCENT)
 elements. Sizes are banded; in each band the domain of shingles is divided into
-partitions, and a set has one signature for each partition it has elements in (the
-enumeration with one partition left in). A set with more than k signatures shares
-at least one with every similar set of the band.
+partitions, each of these into ``SUBPARTS`` parts, and a set has one signature for
+each choice of all but one of a partition's parts: its elements there. An element in
+which two sets differ spoils two of the three signatures of its partition and a
+second one in the same partition the third, so k of them spoil at most
+min(2 k, k + partitions). A set with more signatures shares at least one with every
+similar set of the band; choices without an element are no signatures. In the bands
+of small sets a partition is a single shingle, not divided, and k elements spoil k.
 
 Groups of a signature with up to ``GROUP`` nodes give all their pairs. Larger ones
 give none, and are made up for exactly:
 
-1. A node still found without them (more than k signatures in small groups) needs
+1. A node still found without them (enough signatures in small groups) needs
    nothing. A pair is at stake only if both of its nodes are not.
 2. Those nodes enumerate partitions of single shingles. Pairs that share a shingle
    of at most ``GROUP`` of them are found. What remains shares frequent shingles
@@ -37,18 +41,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.store import buckets, cuts, deal, reclaim, stash
+from tarn.llm.store import buckets, cuts, deal, discard, packed, reclaim, stash, unpacked
 from tarn.llm.text import chunks, grams, mix
 
 SHINGLE, PERCENT = 5, 75
 #: Nodes of a signature's group whose pairs are all enumerated.
 GROUP = 12
 #: Bands grow by this factor; partitions for each element of a band's smallest set.
-RATIO, PARTITIONS = 1.5, 0.7
+RATIO, PARTITIONS = 1.5, 0.3
+#: Parts of a partition; signatures are over all but one of them. The bound on spoilt signatures above is for three.
+SUBPARTS = 3
 #: Sets below this size have one partition for each shingle.
 SINGLE = 30
 _FREE = 1 << 40
-_BAND, _PART, _SHORT = np.uint64(0x082EFA98EC4E6C89), np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
+_BAND, _PART, _SHORT, _LEFT = np.uint64(0x082EFA98EC4E6C89), np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C), np.uint64(0xC0AC29B7C97C50DD)
 
 
 def bounds(upto: int = 1 << 40) -> list[int]:
@@ -73,7 +79,7 @@ def differ(s: int, t: int, percent: int) -> int:
 
 
 def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, partitions, k) for each band that a set of ``size`` is in: as one of the smaller sets, or as the larger of a pair."""
+    """(band, partitions, k) for each band that a set of ``size`` is in: as one of the smaller sets, or as the larger of a pair. 0 partitions stand for one of each shingle."""
     own = bisect_right(BOUNDS, size) - 1
     out = []
     for b in (own, own - 1, own - 2, own - 3):
@@ -82,7 +88,7 @@ def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
         top = most(BOUNDS[b + 1] - 1, percent)
         if size > top:
             break
-        parts = 1 << 32 if size < SINGLE or BOUNDS[b] < SINGLE else int(np.ceil(PARTITIONS * BOUNDS[b]))
+        parts = 0 if BOUNDS[b] < SINGLE else int(np.ceil(PARTITIONS * BOUNDS[b]))
         out.append((b, parts, differ(size, min(top, most(size, percent)), percent)))
     return out
 
@@ -101,15 +107,26 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signatures(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
-    """(signatures, band, slack) for each band; slack: how many may be lost with the rest still more than k."""
+    """(signatures, band, slack) for each band; slack: how many may be lost with the rest still more than k elements can spoil."""
     out = []
     value = mix(s + _BAND)
     for band, parts, k in bands(len(s), percent):
-        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sig = mix(np.add.reduceat(value, at) ^ mix(part[at] * _PART + np.uint64(band) * _BAND))
-        # the lowest bit tells the bands of one set apart: they follow each other
-        out.append(((sig & ~np.uint64(3)) | np.uint64(band & 3), band, len(sig) - k - 1))
+        salt = np.uint64(band) * _BAND
+        if not parts:
+            sig = mix(value ^ salt)
+            spoilt = k
+        else:
+            part = (((s >> np.uint64(32)) * np.uint64(parts * SUBPARTS)) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            held, some = np.zeros(parts * SUBPARTS, np.uint64), np.zeros(parts * SUBPARTS, bool)
+            held[part[at]], some[part[at]] = np.add.reduceat(value, at), True
+            held, some = held.reshape(parts, SUBPARTS), some.reshape(parts, SUBPARTS)
+            all_of, n = held.sum(axis=1, dtype=np.uint64)[:, None], some.sum(axis=1)
+            choice = np.arange(parts, dtype=np.uint64)[:, None] * _PART + np.arange(SUBPARTS, dtype=np.uint64)[None] * _LEFT + salt
+            sig = mix((all_of - held) ^ mix(choice))[n[:, None] > some]  # all but one, where an element is left
+            spoilt = min(2 * k, k + int(np.count_nonzero(n)))
+        # the lowest bits tell the bands of one set apart: they follow each other
+        out.append(((sig & ~np.uint64(3)) | np.uint64(band & 3), band, len(sig) - spoilt - 1))
     return out
 
 
@@ -139,7 +156,7 @@ def _send(n: int, shingle: int, percent: int):
                 order = np.argsort(s)
                 s, o = s[order], o[order]
                 at = cuts(s, n)
-                yield _batch({"bucket": [b for b, _, _ in at], "sig": [s[x:y].astype("<u4").tobytes() for _, x, y in at], "sig_node": [o[x:y].tobytes() for _, x, y in at]})
+                yield _batch({"bucket": [b for b, _, _ in at], "sig": [packed(s[x:y]) for _, x, y in at], "sig_node": [o[x:y].tobytes() for _, x, y in at]})
                 sig.clear()
                 own.clear()
 
@@ -238,13 +255,14 @@ def _meet(group: int):
                         f = nodes.setdefault((x, band), [rep, size, slack])
                         f[0] = min(f[0], rep)
                 if r["sig"] is not None:
-                    sig.setdefault(r["bucket"], []).append((np.frombuffer(r["sig"], "<u4"), np.frombuffer(r["sig_node"], np.int64)))
+                    sig.setdefault(r["bucket"], []).append((r["sig"], r["sig_node"]))
         if nodes:
             v = np.array([[x, *f, band] for (x, band), f in nodes.items()], np.int64)
             yield _rows(1, v[:, 0], pa.array(v[:, 1], mask=v[:, 1] == _NONE), v[:, 2], v[:, 3], v[:, 4] & 3)
-        for parts in sig.values():
-            s, x, each = grouped(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            mark = (s & 3).astype(np.int64)
+        while sig:
+            _, parts = sig.popitem()
+            s, x, each = grouped(np.concatenate([unpacked(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], np.int64) for p in parts]))
+            mark = (s & np.uint64(3)).astype(np.int64)
             a, b, m, times = small_pairs(x, mark, each, group)
             if len(a):
                 yield _rows(2, a, b, times, None, m)
@@ -410,15 +428,19 @@ def _across(percent: int):
                 continue
             m = np.array([x[:5] for x in members], np.int64)
             before = [x[5][x[5] < np.uint64(k)] for x in members]  # what they might have met at already
+            of = np.repeat(np.arange(len(members)), [len(x) for x in before])
             element, column = np.unique(np.concatenate(before), return_inverse=True)
-            has = np.zeros((len(members), len(element)), np.float32)
-            has[np.repeat(np.arange(len(members)), [len(x) for x in before]), column] = 1
+            by = np.argsort(column, kind="stable")
+            of, ends = of[by], np.searchsorted(column[by], np.arange(len(element) + 1))  # members of each element
+            own_elements = np.split(column, np.cumsum([len(x) for x in before])[:-1])
             for i in range(len(m) - 1):
                 o, own = m[i + 1 :], m[i]
                 both = np.minimum(own[2] - own[3], o[:, 2] - o[:, 3])
                 ok = (o[:, 0] != own[0]) & (o[:, 4] != own[4]) & ((100 + percent) * both >= percent * (own[2] + o[:, 2]))
                 if ok.any():
-                    ok &= has[i + 1 :] @ has[i] == 0
+                    for e in own_elements[i].tolist():
+                        met = of[ends[e] : ends[e + 1]]
+                        ok[met[met > i] - i - 1] = False
                     other = o[ok, 1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[1], other)), pa.array(np.maximum(own[1], other))], names=["a", "b"])
 
@@ -452,8 +474,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     A-Z is lower-cased. A row without words has no shingle, links with nothing and
     is its own component. Null keys never name a component unless all of it is
-    null. Repeated rows are nodes of one set. Extra columns are not carried.
-    Sets are compared by 64-bit hashes of their shingles.
+    null. Repeated rows are nodes of one set. Keys are integers. Texts of any length
+    are read whole. Extra columns are not carried, whatever their names; an empty
+    table gives no row. Sets are compared by 64-bit hashes of their shingles, and
+    are equal where 64-bit hashes of the sets are.
     """
     spark = df.sparkSession
     n = buckets(df)
@@ -491,7 +515,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     pairs1 = _plausible(pairs1, info1, percent)
 
     frequent = often.join(info1.select("node", "size"), F.col("a") == F.col("node")).select("node", "size", "shingles").mapInArrow(_frequent(percent), FREQUENT)
-    frequent = stash(frequent, "frequent")
+    frequent = alike = stash(frequent, "frequent")
     lead = frequent.groupBy("digest").agg(F.min(F.struct("rest", "node")).alias("lead")).select(F.col("digest").alias("d"), "lead")
     frequent = frequent.join(lead, F.col("digest") == F.col("d")).withColumn("led", (F.col("node") != F.col("lead.node")) & ((100 - percent) * (F.col("size") - F.col("rest")) >= percent * (F.col("rest") + F.col("lead.rest"))))
     frequent = stash(frequent.select("node", "size", "rest", "digest", "prefix", F.when(F.col("led"), F.col("lead.node")).alias("lead")), "frequent")
@@ -508,11 +532,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     named = rest.join(of("node"), "node", "left").select("node", "size", "rest", "digest", "prefix", F.coalesce("lnode", "node").alias("label"))
     across = _by_element(named, n).mapInArrow(_across(percent), "a long, b long")
     more = stash(verified(across.distinct(), sets, percent), "links")
-    label = stash(components(links.unionByName(more)), "labels")
 
     nodes = info.groupBy("node").agg(F.min("rep").alias("rep"))
     nodes = nodes.join(label.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    if not more.isEmpty():  # these join components found before
+        at = lambda c: of(c).select(F.col(c).alias("n"), f"l{c}")
+        joined = more.join(at("u"), F.col("u") == F.col("n"), "left").drop("n").join(at("v"), F.col("v") == F.col("n"), "left")
+        joined = components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
+        nodes = nodes.join(joined.select(F.col("node").alias("ln"), F.col("label").alias("joined")), F.col("label") == F.col("ln"), "left").select("node", "rep", F.coalesce("joined", "label").alias("label"))
     nodes = stash(nodes, "nodes")
+    discard(info, pairs, sets, single, often, info1, alike, frequent, every, links, label, more)
     least = nodes.groupBy("label").agg(F.min("rep").alias("component_id")).select(F.col("label").alias("cl"), "component_id")
     ids = stash(nodes.join(least, F.col("label") == F.col("cl")).select(F.col("node").alias("cn"), "component_id"), "components")
     rows = met.where("kind = 0").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("c").alias("n_shingles"))

@@ -3,8 +3,10 @@
 A url is split into alphanumeric tokens. Each rule is filed under one token that
 every url it fits must contain: the one that the fewest urls have. A url looks
 its own tokens up in that index and runs regular expressions only for the rules
-it finds there. The index is one literal (a hash table of nested arrays keyed by
-CRC-32), so judging is a projection: no join, no shuffle, no Python on executors.
+it finds there. Up to ``IN_PLAN`` rules the index is one literal (a hash table of
+nested arrays keyed by CRC-32), so judging is a projection: no join, no shuffle.
+More rules are a table that distinct urls meet by token, and the verdicts go back to
+their rows by url. No Python runs on executors.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules travel to the executors inside the plan, so their number is bounded.
-MAX_RULES = 100_000
+#: Rules that travel to the executors inside the plan; more are joined.
+IN_PLAN = 2000
 #: A rule without any whole token is filed here; every url looks this up.
 ANY = "*"
 
@@ -29,7 +32,7 @@ SPAM_WORDS = ("casino", "poker", "viagra", "xxx", "porn", "jackpot", "payday")
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is searched in host + path. ``weight``: of several that fit, the heaviest wins, then the first by name."""
+    """``pattern`` is searched in host + path. ``weight``: of several that fit, the heaviest wins, then the greatest name."""
 
     name: str
     verdict: str
@@ -50,7 +53,7 @@ def prefix_rule(verdict: str, rule: str) -> Rule:
 
 def word_rule(verdict: str, word: str) -> Rule:
     """Fits hosts of which ``word`` is a token; lighter than every prefix rule."""
-    return Rule(f"~{word}", verdict, rf"^(?:[^/]*[^A-Za-z0-9/])?{_quote(word)}(?:[^A-Za-z0-9].*)?$", (word,), 0)
+    return Rule(f"~{word}", verdict, rf"(?s)^(?:[^/]*[^A-Za-z0-9/])?{_quote(word)}(?:[^A-Za-z0-9].*)?$", (word,), 0)
 
 
 def _quote(s: str) -> str:
@@ -77,35 +80,64 @@ def token_counts(df: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]:
     if not wanted:
         return {}
     host, path = split_url(F.col(url))
-    found = df.select(F.explode(F.array_intersect(_tokens(F.concat(host, path)), F.array(*map(F.lit, wanted)))).alias("t")) if len(wanted) <= 500 else df.select(F.explode(_tokens(F.concat(host, path))).alias("t")).where(F.col("t").isin(wanted))
+    every = F.explode(_tokens(F.concat(host, path)))
+    if len(wanted) <= IN_PLAN:
+        found = df.select(F.explode(F.array_intersect(_tokens(F.concat(host, path)), F.array(*map(F.lit, wanted)))).alias("t"))
+    else:
+        found = df.select(every.alias("t")).join(_table(df.sparkSession, [(t,) for t in wanted], "t string"), "t")
     return {r["t"]: r["n"] for r in found.groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table from the driver's rows; Spark decides by its size whether to broadcast it."""
+    return spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema)
+
+
+_RULE = "token string, rule string, verdict string, pattern string, weight int"
+
+
 def judge(df: DataFrame, url: str = "url", rules: list[Rule] | None = None, default: str = "allow", counts: dict[str, int] | None = None) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``verdict`` and ``candidates`` (rules whose expression ran).
 
     Null and malformed urls have an empty host and path, no rule and the default
-    verdict. Columns of ``df`` with those names are replaced. Repeated rows are
-    judged alike. Of several fitting rules the heaviest wins, then the greatest name.
+    verdict. Columns of ``df`` with those names are replaced, others kept. Repeated
+    rows are judged alike; urls of any length are judged whole; an empty table gives
+    no row. Of several fitting rules the heaviest wins, then the greatest name.
     """
     rules = default_rules() if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be carried in the plan")
     counts = token_counts(df, url, rules) if counts is None else counts
-    size = 1 << max(1, len(rules).bit_length())
-    table: list[list[dict]] = [[] for _ in range(size)]
-    for r in rules:
-        token = min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=ANY)
-        table[zlib.crc32(token.encode()) % size].append({"token": token, "rule": r.name, "verdict": r.verdict, "pattern": r.pattern, "weight": r.weight})
-    index = F.from_json(F.lit(json.dumps(table)), "array<array<struct<token:string,rule:string,verdict:string,pattern:string,weight:int>>>")
+    filed = [{"token": min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=ANY), "rule": r.name, "verdict": r.verdict, "pattern": r.pattern, "weight": r.weight} for r in rules]
     host, path = split_url(F.col(url))
-    target = F.concat(host, path)
+    out = df.withColumns({"host": host, "path": path})
+    out = _in_plan(out, filed) if len(rules) <= IN_PLAN else _joined(out, filed)
+    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
+
+
+def _in_plan(df: DataFrame, filed: list[dict]) -> DataFrame:
+    """Add ``candidates`` and ``_best``, by an index in the plan."""
+    size = 1 << max(1, len(filed).bit_length())
+    table: list[list[dict]] = [[] for _ in range(size)]
+    for r in filed:
+        table[zlib.crc32(r["token"].encode()) % size].append(r)
+    index = F.from_json(F.lit(json.dumps(table)), "array<array<struct<" + _RULE.replace(" ", ":").replace(",:", ",") + ">>>")
+    target = F.concat("host", "path")
     slot = lambda t: F.get(index, (F.crc32(t.cast("binary")) % size).cast("int"))
     found = F.flatten(F.transform(F.array_append(_tokens(target), F.lit(ANY)), lambda t: F.filter(slot(t), lambda e: e["token"] == t)))
     fits = F.filter(found, lambda e: F.regexp_like(target, e["pattern"]))
     best = F.array_max(F.transform(fits, lambda e: F.struct(e["weight"].alias("weight"), e["rule"].alias("rule"), e["verdict"].alias("verdict"))))
-    out = df.withColumns({"host": host, "path": path, "candidates": F.size(found), "_best": best})
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
+    return df.withColumns({"candidates": F.size(found), "_best": best})
+
+
+def _joined(df: DataFrame, filed: list[dict]) -> DataFrame:
+    """As ``_in_plan``, by joins: distinct urls meet the rules of their tokens, with partial combination before verdicts are gathered by url."""
+    table = _table(df.sparkSession, [tuple(r[c.split()[0]] for c in _RULE.split(", ")) for r in filed], _RULE)
+    target = F.concat("host", "path")
+    urls = df.select(target.alias("_u")).distinct()
+    met = urls.select("_u", F.explode(F.array_append(_tokens(F.col("_u")), F.lit(ANY))).alias("token")).join(table, "token")
+    best = F.max(F.when(F.expr("regexp_like(_u, pattern)"), F.struct("weight", "rule", "verdict")))
+    found = met.groupBy("_u").agg(F.count(F.lit(1)).cast("int").alias("_n"), best.alias("_best"))
+    out = df.withColumn("_t", target).join(found, F.col("_t") == F.col("_u"), "left")
+    return out.withColumn("candidates", F.coalesce("_n", F.lit(0))).drop("_t", "_u", "_n")
 
 
 def default_rules() -> list[Rule]:

@@ -45,6 +45,21 @@ def test_url_index_reads_few_rules(spark):
     assert got[1].rule == "site7.example/" and got[1].candidates <= 2 and got[2].rule is None
 
 
+def test_url_rules_beyond_the_plan(spark):
+    """Many rules are joined, with the same verdicts as in the plan; line breaks do not hide a host's word."""
+    rules = [url_filters.prefix_rule("block" if i % 3 else "allow", f"site{i}.example/{'ab'[i % 2]}") for i in range(20_000)] + url_filters.default_rules()
+    urls = [f"http://{'ABC'[i % 3]}.site{i * 7}.example/{'ab'[i % 3 % 2]}/x" for i in range(1000)] + ["http://casino.x/a\nb", "http://casino.x", "http://x.y/casino", None, "no url", "http://net/"] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    many, few = rows(url_filters.judge(df, rules=rules), "page_id"), rows(url_filters.judge(df), "page_id")
+    for i, u in enumerate(urls[:1000]):
+        k = i * 7
+        fits = k < 20_000 and "ab"[i % 3 % 2] == "ab"[k % 2]
+        assert (many[i].rule, many[i].verdict) == ((f"site{k}.example/{'ab'[k % 2]}", "block" if k % 3 else "allow") if fits else (None, "allow"))
+        assert many[i].candidates <= 2
+    assert all(many[i] == few[i] or many[i].candidates >= few[i].candidates and many[i].rule == few[i].rule for i in range(1000, len(urls)))
+    assert [few[i].verdict for i in range(1000, 1006)] == ["block", "block", "allow", "allow", "allow", "block"]
+
+
 def test_mixing(docs, corpus):
     got = rows(mixing.mix(docs))
     size = {i: len(words(t)) for i, t, _ in corpus}

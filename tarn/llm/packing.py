@@ -5,9 +5,11 @@ document at once; what is left goes, whole, to the fill level for which the sum
 of the squared counts of partly filled windows becomes least. The counts are a
 level array of a window's length, so placing a piece costs one pass over it.
 A task packs its own documents; nothing is shuffled, and the open windows, whose
-number is bounded, are all that it holds. When they are too many, and at the end,
-their pieces are strung together and cut into full windows; what remains at the
-end is cut into powers of two, which need no padding.
+number is bounded, are all that it holds. When they are too many, the pieces at the
+level with the most of them are strung together and cut into full windows, and the
+other windows stay open. At the end this is done with all that are left, and what
+remains is cut into powers of two, which need no padding. ``placed`` says of every
+piece how it came to its place, so that the share that was strung can be counted.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 WINDOW = 1024
 END_ID = 0
-#: Open windows that a task holds at most (with a window's ids each, 16 MB).
+#: Open windows that a task holds at most, if that is more than one for each level (with a window's ids each, 16 MB).
 MAX_OPEN = 4096
 VOCABULARY = "byte_bpe_50k"
 
@@ -73,7 +75,11 @@ def encoder(json_path: str, ranks_path: str | None) -> Encoder:
 
 
 class Packer:
-    """Online sum-of-squares packing; ``done`` gathers (key, start, ids, doc_tokens, sequence, offset)."""
+    """Online sum-of-squares packing; ``done`` gathers (key, start, ids, doc_tokens, sequence, offset, placed).
+
+    ``placed`` is ``whole`` for a window cut off a document, ``level`` for a piece
+    in the fill level chosen for it, ``strung`` for a piece of windows that did not fill.
+    """
 
     def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first_sequence: int = 0):
         self.window, self.max_open, self.next = window, max_open, first_sequence
@@ -86,7 +92,7 @@ class Packer:
         n, w = len(ids), self.window
         whole = n - n % w
         for at in range(0, whole, w):
-            self._close([(key, at, ids[at : at + w], n)])
+            self._close([(key, at, ids[at : at + w], n)], "whole")
         if n > whole:
             self._place((key, whole, ids[whole:], n))
 
@@ -106,60 +112,63 @@ class Packer:
             held = []
         held.append(piece)
         if best + s == w:
-            self._close(held)
+            self._close(held, "level")
             return
         self.open[best + s].append(held)
         c[best + s] += 1
         self.n_open += 1
         if self.n_open > self.max_open:
-            self.flush(last=False)
+            self.flush(int(np.argmax(c)))
 
-    def _close(self, pieces: list[tuple]) -> None:
+    def _close(self, pieces: list[tuple], placed: str) -> None:
         at = 0
         for key, start, ids, n in pieces:
-            self.done.append((key, start, ids, n, self.next, at))
+            self.done.append((key, start, ids, n, self.next, at, placed))
             at += len(ids)
         self.next += 1
 
-    def flush(self, last: bool = True) -> None:
-        """String the open windows' pieces together and cut them into full windows, at last into powers of two."""
-        pieces = [p for level in reversed(self.open) for held in level for p in held]
-        self.open, self.n_open = [[] for _ in range(self.window)], 0
-        self.counts[:] = 0
+    def flush(self, level: int | None = None) -> None:
+        """String the pieces of the open windows of a level together and cut them into full windows; without a level those of all, at last into powers of two."""
+        last = level is None
+        levels = range(self.window - 1, -1, -1) if last else [level]
+        pieces = [p for i in levels for held in self.open[i] for p in held]
+        for i in levels:
+            self.n_open -= len(self.open[i])
+            self.open[i], self.counts[i] = [], 0
         total, room, held = sum(len(p[2]) for p in pieces), 0, []
         for key, start, ids, n in pieces:
             while len(ids):
                 if not room:
-                    room = min(self.window, 1 << (total.bit_length() - 1))
-                    if total < self.window and not last:
-                        room = self.window
+                    room = min(self.window, 1 << (total.bit_length() - 1)) if last else self.window
                 part = ids[:room]
                 held.append((key, start, part, n))
                 start, ids, total, room = start + len(part), ids[len(part) :], total - len(part), room - len(part)
                 if not room:
-                    self._close(held)
+                    self._close(held, "strung")
                     held = []
-        if held:  # only where more documents come
-            level = sum(len(p[2]) for p in held)
-            self.open[level].append(held)
-            self.counts[level] += 1
-            self.n_open = 1
+        if held:  # more documents come
+            at = sum(len(p[2]) for p in held)
+            self.open[at].append(held)
+            self.counts[at] += 1
+            self.n_open += 1
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Pieces of sequences: (key, start, length, ids, doc_tokens, sequence_id, offset).
-
-    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers. Null
-    and empty texts are documents of one id. Null keys are kept; repeated rows are
-    documents of their own. Extra columns are not carried. Sequence ids depend on
-    how the input is dealt to tasks, and are the same when a task runs again.
+    """Pieces of sequences: (key, start, length, ids, doc_tokens, sequence_id, offset, placed).
+
+    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers;
+    ``placed`` as in ``Packer``. Null and empty texts are documents of one id; a
+    text of any length is encoded whole. Null keys are kept; repeated rows are
+    documents of their own; an empty table gives no row. Extra columns are not
+    carried, whatever their names. Sequence ids depend on how the input is dealt to
+    tasks, and are the same when a task runs again.
     """
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path, ranks_path = public_tokenizers.path(f"{VOCABULARY}.json"), public_tokenizers.path(f"{VOCABULARY}.tiktoken")
     kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("placed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, ranks_path)
@@ -167,10 +176,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
         arrow = None
 
         def out() -> pa.RecordBatch:
-            k, start, ids, n, seq, at = zip(*packer.done, strict=True)
+            k, start, ids, n, seq, at, placed = zip(*packer.done, strict=True)
             packer.done = []
             longs = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(k, arrow), longs(start), longs([len(x) for x in ids]), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), longs(n), longs(seq), longs(at)], names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(k, arrow), longs(start), longs([len(x) for x in ids]), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), longs(n), longs(seq), longs(at), pa.array(placed, pa.string())], names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "placed"])
 
         for b in batches:
             arrow = b.schema.field(0).type
@@ -190,4 +199,4 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "placed")

@@ -216,23 +216,28 @@ def test_packing(docs, corpus):
     assert check_pieces(pieces, {i: t for i, t, _ in corpus}) == 0
 
 
-def test_packer_chooses_least_squares():
+@pytest.mark.parametrize(("most", "window"), [(3, 32), (40, 32), (4096, 32), (4096, 100)])
+def test_packer_chooses_least_squares(most, window):
+    """Every placement, to the end, has the least sum of squares of all that are possible; no id is lost."""
     rng = np.random.default_rng(3)
-    for most in (3, 4096):
-        p = packing.Packer(32, most)
-        level = Counter()
-        for i in range(600):
-            n = int(rng.integers(1, 32))
-            if most == 4096 and not p.done:
-                best = min((sum(v * v for v in (level + Counter({n: 1})).values()), 0) if s == 0 else (sum(v * v for k, v in (level - Counter({s: 1}) + Counter({s + n: 1})).items() if k < 32), -s) for s in [0, *[k for k, c in level.items() if c and k + n <= 32]])
-                p.add(i, np.arange(n))
-                level = Counter({k: int(c) for k, c in enumerate(p.counts[:32]) if c})
-                assert sum(v * v for v in level.values()) == best[0]
-            else:
-                p.add(i, np.arange(n))
-            assert p.n_open <= most + 1
-        p.flush()
-        assert sum(len(x[2]) for x in p.done) == sum({x[0]: x[3] for x in p.done}.values())
+    p, sent = packing.Packer(window, most), {}
+    for i in range(1500):
+        n = int(rng.integers(1, 3 * window)) if i % 10 == 0 else int(rng.integers(1, window))
+        before = Counter({k: int(c) for k, c in enumerate(p.counts[:window]) if c})
+        sent[i], rest, closed = np.arange(n, dtype=np.uint32) + 7 * i, n % window, len(p.done)
+        p.add(i, sent[i])
+        after = Counter({k: int(c) for k, c in enumerate(p.counts[:window]) if c})
+        squares = lambda c: sum(v * v for v in c.values())
+        if rest and not any(x[6] == "strung" for x in p.done[closed:]) and sum(before.values()) < most:
+            choices = [before + Counter({rest: 1}), *((before - Counter({s: 1})) + Counter({k: 1 for k in [s + rest] if k < window}) for s in before if s + rest <= window)]
+            assert squares(after) == min(map(squares, choices))
+        assert p.n_open == sum(after.values()) <= max(most, window)
+    p.flush()
+    got = defaultdict(list)
+    for key, start, ids, n, seq, at, placed in p.done:
+        assert placed in ("whole", "level", "strung") and n == len(sent[key])
+        got[key].append((start, ids.tolist()))
+    assert {k: sum((ids for _, ids in sorted(v)), []) for k, v in got.items()} == {k: v.tolist() for k, v in sent.items()}
 
 
 def links(texts):
@@ -316,6 +321,63 @@ def test_toxicity_holds_out(spark, tmp_path):
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.predicted == 0}
 
 
+def test_ftrl_is_the_published_update():
+    """One coordinate at a time, as published, against the vectorised learner; with and without L1."""
+    rng = np.random.default_rng(4)
+    data = [(np.r_[0, np.unique(rng.integers(1, 40, int(rng.integers(0, 12))))], float(rng.random() < 0.4)) for _ in range(400)]
+    for l1, l2 in ((toxicity.L1, toxicity.L2), (0.0, 0.0), (0.3, 0.5)):
+        model = toxicity.Ftrl(64, l1=l1, l2=l2)
+        z, n = [0.0] * 64, [0.0] * 64
+
+        def weight(i, l1=l1, l2=l2, z=z, n=n):
+            own = 0.0 if i == 0 else l1
+            if abs(z[i]) <= own:
+                return 0.0
+            return -(z[i] - math.copysign(own, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + l2)
+
+        for f, y in data * 2:
+            w = {i: weight(i) for i in f.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            model.learn(f, y)
+        assert model.weights(np.arange(64)).tolist() == pytest.approx([weight(i) for i in range(64)])
+
+
+def test_toxicity_against_brute_force(spark):
+    """The whole operator: features, order of learning, weights and scores, written out."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["good", "Day,", "vile", "x.y", "so"], int(rng.integers(0, 9)))) for _ in range(60)] + [None, "", "vile vile"]
+    y = [int("vile" in (t or "")) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    got = rows(toxicity.score(d, toxicity.fit(d, labels)))
+
+    def features(t):
+        import pyarrow as pa
+
+        w = re.split(r"[^0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        w = [x for x in w if x]
+        hashed = {x: int(h) for _, _, c in toxicity.chunks(pa.array([" ".join(w)]), apart=toxicity.PUNCTUATION) for x, h in zip(w, c.hash.tolist(), strict=True)}
+        one = lambda *v: int(toxicity.mix(np.array(v, np.uint64))[0])
+        grams = [hashed[x] for x in w]
+        for gap, salt in ((1, toxicity._SALTS[0]), (2, toxicity._SALTS[1])):
+            grams += [one((hashed[a] * int(salt) + hashed[b]) % 2**64) for a, b in zip(w, w[gap:], strict=False)]
+        return [0, *sorted({max(g >> 64 - toxicity.BITS, 1) for g in grams})]
+
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    train.sort(key=lambda i: int(toxicity.mix(np.array([i], np.uint64))[0]))
+    model = toxicity.Ftrl()
+    for _ in range(toxicity.EPOCHS):
+        for i in train:
+            model.learn(np.array(features(texts[i])), float(y[i]))
+    for i, t in enumerate(texts):
+        p = 1 / (1 + math.exp(-model.weights(np.array(features(t))).sum()))
+        assert got[i].score == pytest.approx(p, abs=1e-6) and got[i].predicted == (p >= 0.5)
+
+
 def test_quality(docs, corpus):
     got = rows(quality.measure(docs))
     for i, t, _ in corpus:
@@ -340,6 +402,12 @@ def test_quality(docs, corpus):
                 runs |= set(range(k, k + 10))
         if len(w) < 500:
             assert r.covered_words == len(runs) and {x for s in r.spans for x in range(s.start, s.end)} == runs
+            where, longest = list(range(len(w))), 0
+            while where := [k for k in where if k + longest < len(w) and sum(w[j : j + longest + 1] == w[k : k + longest + 1] for j in range(len(w) - longest)) > 1]:
+                longest += 1
+            assert r.longest_repeat == longest
+            bad = len(runs) > quality.MAX_COVERED * len(w) or longest >= quality.MIN_REPEAT and longest > quality.MAX_LONGEST * len(w)
+            assert r.kept == (not failed and not bad)
 
 
 def test_repeats_reject_what_the_base_rule_keeps(spark):
@@ -356,6 +424,11 @@ def test_repeats_reject_what_the_base_rule_keeps(spark):
     assert share("covered")[0] > quality.MAX_COVERED and share("covered")[1] <= quality.MAX_LONGEST
 
 
+def test_repeats_below_the_window(spark):
+    got = rows(quality.measure(spark.createDataFrame([(1, "a b c a b d"), (2, "a b c"), (3, None)], "doc_id long, text string")))
+    assert [got[i].longest_repeat for i in (1, 2, 3)] == [2, 0, 0] and got[1].n_repeat_words == 0
+
+
 def test_longest_repeats():
     rng = np.random.default_rng(5)
     for _ in range(400):

@@ -158,9 +158,10 @@ class Automaton:
                 state[seen] = n_states + np.arange(int(seen.sum()))
                 n_states += int(seen.sum())
             to.append(state[seen])
-            gram = np.zeros(len(hashes), np.int64)
+            gram = np.zeros(len(hashes), np.int32)
             gram[tokens_of] = place
             states, probability, count = state, p, c
+        del gram, place, tokens_of, here, p, history, state, states, probability, count
         key = np.concatenate(keys)
         by = np.argsort(key)
         # a last arc that no state and word have

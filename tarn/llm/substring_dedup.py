@@ -16,7 +16,8 @@ Windows between units are dealt by the hash of the whole window, so that neither
 hot seed nor a long passage is gathered: a task gets a window once from each unit
 that has it.
 
-Words are compared by 64-bit hashes of the window beside 64-bit hashes of its seed.
+Words are compared by 64-bit hashes of the window beside hashes of its seed: of 64 bits
+within a unit, of 32 between units.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.store import buckets, cuts, deal, packed, reclaim, stash, unpacked
+from tarn.llm.store import buckets, cuts, deal, packed, planes, reclaim, stash, unpacked, unplanes
 from tarn.llm.text import chunks, grams, utf8
 from tarn.llm.units import by_unit, distinct, merged, with_unit
 
@@ -163,7 +164,7 @@ def _extend(n: int, window: int, seed: int, texts: bool):
             r, p, s, x = r[o], p[o], s[o], x[o]
             ids = np.array(keys, np.int64)
             for b, lo, hi in cuts(x, n):
-                out.append({"unit": 0, "bucket": b, "full": packed(x[lo:hi]), "seeds": s[lo:hi].tobytes(), "docs": ids[r[lo:hi]].tobytes(), "rows": r[lo:hi].astype("<u4").tobytes(), "pos": p[lo:hi].astype("<u4").tobytes()})
+                out.append({"unit": 0, "bucket": b, "full": packed(x[lo:hi]), "seeds": s[lo:hi].astype("<u4").tobytes(), "docs": planes(ids[r[lo:hi]]), "rows": planes(r[lo:hi]), "pos": planes(p[lo:hi])})
         waits = np.zeros(len(keys), bool)
         waits[row[first]] = True
         gone_row, gone_pos = row[~first], pos[~first]
@@ -198,14 +199,15 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [unpacked(x[2]) for x in parts]
         ends = np.cumsum([0, *map(len, full)])
         full = np.concatenate(full)
-        seed, doc, pos = (np.concatenate([np.frombuffer(x[i], t) for x in parts]) for i, t in ((3, "<u8"), (4, "<i8"), (6, "<u4")))
+        seed = np.concatenate([np.frombuffer(x[3], "<u4") for x in parts])
+        doc, pos = (np.concatenate([unplanes(x[i]).astype(np.int64) for x in parts]) for i in (4, 6))
         order = np.lexsort((pos, doc, seed, full))
         later = np.zeros(len(full), bool)
         later[order[1:]] = (seed[order][1:] == seed[order][:-1]) & (full[order][1:] == full[order][:-1])
         for x, lo, hi in zip(parts, ends, ends[1:], strict=False):
             gone = later[lo:hi]
             if gone.any():
-                rows = np.frombuffer(x[5], "<u4")[gone]
+                rows = unplanes(x[5])[gone].astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([rows.tobytes()], pa.binary()), pa.array([pos[lo:hi][gone].astype("<u4").tobytes()], pa.binary())], names=["unit", "rows", "starts"])
 
 

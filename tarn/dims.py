@@ -24,6 +24,7 @@ QA_PIXEL = {"fill": (0, 1), "dilated_cloud": (1, 1), "cirrus": (2, 1), "cloud":
 QA_AEROSOL = {"fill": (0, 1), "retrieval": (1, 1), "water": (2, 1), "interpolated": (5, 1), "level": (6, 2)}
 # Class codes of the decision trees.
 TREE_LABELS = {"clear": 0, "water": 1, "shadow": 2, "cloud": 3, "cirrus": 4, "snow": 5}
+# Sensors by the letter of an item id; radar polarisations.
 SENSORS = {"M": "mss", "T": "tm", "E": "etm", "C": "oli-tirs"}
 POLARISATIONS = ("vh", "hh", "hv", "vv")
 

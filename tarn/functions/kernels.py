@@ -80,7 +80,11 @@ def drop_small(a: np.ndarray, limit: int) -> np.ndarray:
 def clean(frame: np.ndarray, value: int = 1, limit: int = 50) -> np.ndarray:
     """Labelled components of a class: closed, holes filled, small ones dropped. The input stays as it is."""
     a = frame == value if value else np.zeros(frame.shape, bool)
-    return label(drop_small(fill_holes(closing(a), limit), limit))
+    lab = label(fill_holes(closing(a), limit))
+    # small components go and the others are numbered anew, in the same order
+    keep = sizes(lab) >= limit
+    keep[0] = False
+    return np.where(keep, np.cumsum(keep), 0)[lab]
 
 
 def touching(lab: np.ndarray, raster: np.ndarray) -> np.ndarray:

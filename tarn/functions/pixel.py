@@ -47,6 +47,11 @@ def brightness_temperature(dn: Column, mult: Column, add: Column, k1: Column, k2
     return F.coalesce(t, dn.cast("double"))
 
 
+def to_toa(dn: Column, thermal: Column, mult: Column, add: Column, sun_elevation: Column, k1: Column, k2: Column, legacy: bool = False) -> Column:
+    """Top of the atmosphere by kind of band: brightness temperature of thermal bands, reflectance of the others."""
+    return F.when(thermal, brightness_temperature(dn, mult, add, k1, k2, legacy)).otherwise(reflectance(dn, mult, add, sun_elevation, legacy))
+
+
 def hsv(r: Column, g: Column, b: Column) -> Column:
     """struct(hue in degrees, sat, val) by the hexcone model. Grey has hue and saturation 0; where channels tie for the maximum, the later one sets the hue."""
     val = F.greatest(r, g, b)
@@ -125,6 +130,7 @@ def surface_reflectance(dn: Column) -> Column:
     return F.when(dn != 0, dn * F.lit(2.75e-5) - F.lit(0.2))
 
 
+# The mixes of the two false colours.
 def false_colour(vv: Column, vh: Column, dark: int = 80, top: float = 2000.0) -> Column:
     """struct(r, g, b) in 0..1 of a radar pixel: one linear mix of vv and vh for dark water, another for the rest, clipped at ``top``."""
     water = vv < dark

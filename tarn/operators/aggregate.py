@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = ("pixel", "meter")
@@ -83,9 +83,34 @@ def percentile_stretch(df: DataFrame, keys: list[str], value: str, low: float =
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """count, mean, sample deviation, minimum, quartiles, maximum."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max")).select("count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    """count, mean, sample deviation, minimum, exact quartiles, maximum.
+
+    Quartiles are picked by rank: values are counted by the leading bits of their
+    order-preserving code, and only the values of the one or two cells that a rank
+    falls into are ranked. No task merges all distinct values.
+    """
+    d = df.select(F.col(value).cast("double").alias("v")).where("v is not null").withColumn("cell", _cell(F.col("v")))
+    total = d.agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows
+    cells = d.groupBy("cell").agg(F.count("v").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    at = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), ((F.col("count") - 1) * q).alias("rank")) for k, q in ((25, 0.25), (50, 0.5), (75, 0.75))))).alias("q")).select("q.*")
+    want = at.select("k", F.explode(F.array(F.struct(F.floor("rank").alias("at"), (1 - (F.col("rank") - F.floor("rank"))).alias("w")), F.struct((F.floor("rank") + 1).alias("at"), (F.col("rank") - F.floor("rank")).alias("w")))).alias("p")).select("k", "p.*").where("w > 0")
+    want = want.join(cells, (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))).select("k", "at", "w", "cell", "before")  # six rows on a side
+    near = d.join(F.broadcast(want.select("cell").distinct()), "cell", "left_semi").groupBy("cell", "v").agg(F.count("v").alias("m"))
+    near = near.withColumn("upto", F.sum("m").over(Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = F.broadcast(want).join(near, "cell").where((F.col("at") - F.col("before") >= F.col("upto") - F.col("m")) & (F.col("at") - F.col("before") < F.col("upto")))
+    q = hit.groupBy().agg(*(F.sum(F.when(F.col("k") == k, F.col("v") * F.col("w"))).alias(f"q{k}") for k in (25, 50, 75)))
+    return total.join(q).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")  # one row each
+
+
+#: Cells into which ``describe`` counts values before it ranks those of a few.
+CELLS = 1 << 16
+
+
+def _cell(v: Column) -> Column:
+    """Cells in ascending order of the number: sign, exponent and leading bits of the fraction."""
+    size = F.when(v == 0, F.lit(0.0)).otherwise(F.log2(F.abs(v)) * 32 + 40000)
+    return (F.floor(size) * F.signum(v)).cast("int")
 
 
 def best_group(df: DataFrame, group: list[str], score: str) -> DataFrame:

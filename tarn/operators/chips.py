@@ -46,6 +46,13 @@ def mosaic(pixels: DataFrame, tiles: DataFrame, patch: int) -> DataFrame:
     return j.withColumns({"gy": ((F.col("_y1") - F.col("yloc")) * patch + F.col("y")).cast("long"), "gx": ((F.col("xloc") - F.col("_x0")) * patch + F.col("x")).cast("long")}).drop("_x0", "_y1", "xloc", "yloc")
 
 
+def cube(pixels: DataFrame, tiles: DataFrame, patch: int) -> DataFrame:
+    """A constellation's mosaic on the dates that all its tiles have, from (constellation, tile_id, date, y, x, ...)."""
+    from tarn.operators.align import on_common_dates
+
+    return mosaic(on_common_dates(pixels, ["constellation"], "tile_id", "date"), tiles, patch)
+
+
 def target_size(edge: int, source: float, target: float, legacy: bool = False) -> float:
     """Edge in pixels at another resolution; ``legacy`` halves when coarser and doubles when finer."""
     if source == target:
@@ -104,24 +111,31 @@ def grid_sampler(frames: DataFrame, size: int, chip: int, step: int) -> DataFram
     return frames.withColumn("i", F.explode(o)).withColumn("j", F.explode(o))
 
 
+def _hash(*columns: Column | str) -> Column:
+    """60 bits of a digest that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def random_sampler(frames: DataFrame, size: int, chip: int, revisits: int, chips: int, seed: int = 0) -> DataFrame:
     """``revisits`` frames drawn with replacement, ``chips`` random offsets in each; the same for the same seed.
 
-    Drawing is by rank of a hash: draw d takes the frame that is first after a
-    hashed point of the frames' hash order, so frames are never gathered.
+    Every frame has a rank in a hashed order: a prefix sum over hash cells, then a
+    rank within the cell, so that frames are never gathered. A draw takes the frame
+    of a hashed rank; all have the same chance.
     """
-    cols = frames.columns
-    h = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(revisits))
-    slots = frames.withColumn("_slot", h).withColumn("_h", F.xxhash64(*cols, F.lit(seed + 1)))
-    pool = slots.groupBy("_slot").agg(F.min_by(F.struct(*cols), "_h").alias("f")).select("_slot", "f.*")
+    cols, cells = frames.columns, 4096
+    f = frames.withColumn("_h", _hash(*cols, F.lit(seed))).withColumn("_cell", F.pmod("_h", F.lit(cells)))
+    upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
+    base = f.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select("_cell", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    f = f.withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *cols)) - 1)
+    pool = f.join(base, "_cell").withColumn("_rank", F.col("_base") + F.col("_r")).drop("_h", "_cell", "_r", "_base")
     n = F.col("draw")
-    draws = frames.sparkSession.range(revisits).withColumnRenamed("id", "draw").withColumn("_slot", F.pmod(F.xxhash64(n, F.lit(seed + 2)), F.lit(revisits)))
-    some = pool.agg(F.sort_array(F.collect_list("_slot")).alias("_all"))  # at most one slot for each draw
-    draws = draws.crossJoin(some).withColumn("_slot", F.element_at("_all", (F.pmod(F.col("_slot"), F.size("_all")) + 1).cast("int"))).drop("_all")
+    draws = frames.sparkSession.range(revisits).withColumnRenamed("id", "draw").crossJoin(frames.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    draws = draws.where("_n > 0").withColumn("_rank", F.pmod(_hash(n, F.lit(seed + 2)), F.col("_n"))).drop("_n")
     top = size - chip + 1
-    out = draws.join(pool, "_slot").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(chips - 1))))
-    pick = lambda s: F.pmod(F.xxhash64(n, F.col("k"), F.lit(seed + s)), F.lit(top)).cast("int")
-    return out.withColumn("i", pick(3)).withColumn("j", pick(4)).drop("_slot")
+    out = draws.join(pool, "_rank").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(chips - 1))))
+    pick = lambda s: F.pmod(_hash(n, F.col("k"), F.lit(seed + s)), F.lit(top)).cast("int")
+    return out.withColumn("i", pick(3)).withColumn("j", pick(4)).drop("_rank")
 
 
 def crop(df: DataFrame, i: int, j: int, chip: int) -> DataFrame:

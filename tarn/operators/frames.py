@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from tarn.functions import kernels
 
 
-def _grid(t: pa.Table, value: str, y: str = "y", x: str = "x") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    yy, xx = t[y].to_numpy().astype(np.int64), t[x].to_numpy().astype(np.int64)
-    a = np.zeros((yy.max() + 1, xx.max() + 1), np.int64)
-    a[yy, xx] = t[value].fill_null(0).to_numpy().astype(np.int64)
-    return a, yy, xx
+def _grid(t: pa.Table, value: str, kind=np.int16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frame as an array that begins at its least row and column, and these; coordinates may lie anywhere."""
+    yy, xx = t["y"].to_numpy().astype(np.int64), t["x"].to_numpy().astype(np.int64)
+    top, left = yy.min(), xx.min()
+    a = np.zeros((yy.max() - top + 1, xx.max() - left + 1), kind)
+    a[yy - top, xx - left] = t[value].fill_null(0).to_numpy().astype(kind)
+    return a, top, left
 
 
 def _ddl(df: DataFrame, keys: list[str]) -> str:
@@ -31,9 +33,10 @@ def components(df: DataFrame, keys: list[str], value: str = "mask", cls: int = 1
     """(keys, y, x, component) of the cleaned class pixels of each frame; background is left out."""
 
     def run(t: pa.Table) -> pa.Table:
-        lab = kernels.clean(_grid(t, value)[0], cls, limit)
+        a, top, left = _grid(t, value)
+        lab = kernels.clean(a, cls, limit)
         y, x = np.nonzero(lab)
-        return pa.table([*(pa.array([t[k][0].as_py()] * len(y), t[k].type) for k in keys), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(lab[y, x])], names=[*keys, "y", "x", "component"])
+        return pa.table([*(pa.array([t[k][0].as_py()] * len(y), t[k].type) for k in keys), pa.array((y + top).astype(np.int32)), pa.array((x + left).astype(np.int32)), pa.array(lab[y, x])], names=[*keys, "y", "x", "component"])
 
     return df.select(*keys, "y", "x", value).groupBy(*keys).applyInArrow(run, f"{_ddl(df, keys)}, y int, x int, component long")
 
@@ -56,10 +59,8 @@ def smoothed(df: DataFrame, keys: list[str], value: str, sigma: float) -> DataFr
     """(keys, y, x, value) after a Gaussian filter of each frame."""
 
     def run(t: pa.Table) -> pa.Table:
-        yy, xx = t["y"].to_numpy().astype(int), t["x"].to_numpy().astype(int)
-        a = np.zeros((yy.max() + 1, xx.max() + 1))
-        a[yy, xx] = t[value].to_numpy()
-        return pa.table([*(t[k] for k in keys), t["y"], t["x"], pa.array(kernels.gaussian(a, sigma)[yy, xx])], names=[*keys, "y", "x", value])
+        a, top, left = _grid(t, value, float)
+        return pa.table([*(t[k] for k in keys), t["y"], t["x"], pa.array(kernels.gaussian(a, sigma)[t["y"].to_numpy() - top, t["x"].to_numpy() - left])], names=[*keys, "y", "x", value])
 
     return df.select(*keys, "y", "x", value).groupBy(*keys).applyInArrow(run, f"{_ddl(df, [*keys, 'y', 'x'])}, `{value}` double")
 
@@ -69,15 +70,19 @@ def burned(rings: DataFrame, key: str, height: int, width: int, left: float, top
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for k, ring in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, ring in enumerate(b.column(1).to_pylist()):
                 m = kernels.rasterise(np.array([(p["x"], p["y"]) for p in ring], float), height, width, left, top, pixel, all_touched)
-                out += [(k, int(y), int(x)) for y, x in zip(*np.nonzero(m), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=[key, "y", "x"])
+                y, x = np.nonzero(m)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(y), i))), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))], names=[key, "y", "x"])
 
     return rings.select(key, "ring").mapInArrow(run, f"{_ddl(rings, [key])}, y int, x int")
 
 
+def component_table(df: DataFrame, frame: list[str], resolution: float = 1.0) -> DataFrame:
+    """One row for each component of ``components``: area, bounds and centre, in place of outlines."""
+    return df.groupBy(*frame, "component").agg((F.count(F.lit(1)) * F.lit(resolution**2)).alias("area"), F.min("y").alias("min_y"), F.min("x").alias("min_x"), F.max("y").alias("max_y"), F.max("x").alias("max_x"), F.avg("y").alias("centre_y"), F.avg("x").alias("centre_x"))
+
+
 def scored(chips: DataFrame, scorer, keys: list[str], data: str = "data", out: str = "classes") -> DataFrame:
     """Class map of each chip from a pluggable scorer: flat values in, class codes out.
 
@@ -95,6 +100,22 @@ def scored(chips: DataFrame, scorer, keys: list[str], data: str = "data", out: s
     return chips.select(*keys, data).mapInArrow(run, f"{_ddl(chips, keys)}, `{out}` array<int>")
 
 
+def inferred(df: DataFrame, keys: list[str], value: str, size: int, target: int, chip: int, scorer, mean: float, std: float, out: str = "mask") -> DataFrame:
+    """(keys, y, x, out) of square frames from a scorer of chips: resized to ``target``, padded to whole chips, normalised, scored, stitched, unpadded and resized back by nearest neighbour."""
+    from tarn.operators import chips
+
+    small = chips.bilinear(df, keys, size, target, value)
+    whole = chips.pad(small, keys, target, target, chip, value)
+    cut = chips.to_chips(whole.withColumn(value, (F.col(value) - F.lit(mean)) / F.lit(std)), chip)
+    at = F.array_sort(F.collect_list(F.struct("r", "c", F.col(value).alias("v"))))
+    batch = cut.groupBy(*keys, "chip_i", "chip_j").agg(F.transform(at, lambda p: p["v"]).alias("data"))
+    got = scored(batch, scorer, [*keys, "chip_i", "chip_j"])
+    got = got.select(*keys, "chip_i", "chip_j", F.posexplode("classes").alias("_k", out))
+    flat = chips.from_chips(got.withColumns({"r": F.floor(F.col("_k") / chip).cast("int"), "c": F.pmod("_k", F.lit(chip)).cast("int")}), chip)
+    kept = flat.where((F.col("y") < target) & (F.col("x") < target)).select(*keys, "y", "x", out)
+    return chips.nearest(kept, keys, target, size, out)
+
+
 def on_burned(components_df: DataFrame, raster: DataFrame, frame: list[str]) -> DataFrame:
     """Pixels of the components that touch the raster (y, x), as joins: the raster picks components, a semi join keeps their pixels."""
     hit = components_df.join(raster.select("y", "x"), ["y", "x"], "left_semi").select(*frame, "component").distinct()

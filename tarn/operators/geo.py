@@ -53,6 +53,12 @@ def bounding_box(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
 
 
+def ring_area(ring: Column) -> Column:
+    """Area inside a closed ring of (x, y): half the sum of cross products along its edges."""
+    edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
 def _series() -> tuple[float, list[float], list[float], list[float]]:
     """Krueger's series to the sixth order of the third flattening."""
     n = FLAT / (2 - FLAT)

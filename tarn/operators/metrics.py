@@ -73,6 +73,21 @@ def per_class(df: DataFrame, pred: str, truth: str) -> DataFrame:
     return s.select("class", F.try_divide(both, p).alias("precision"), F.try_divide(both, t).alias("recall"), F.try_divide(2 * both, p + t).alias("f1"), F.try_divide(both, p + t - both).alias("iou"))
 
 
+def single_class(df: DataFrame, pred: str, truth: str, cls: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """precision, recall, f1 and iou of one class; null for each key whose truth lacks it."""
+    p, t = (F.col(pred) == cls).cast("int"), (F.col(truth) == cls).cast("int")
+    scores = {"precision": precision(p, t), "recall": recall(p, t), "f1": dice(p, t), "iou": iou(p, t)}
+    aggs = [F.when(F.max(t) == 1, c).alias(n) for n, c in scores.items()]
+    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+
+
+def harness(truth: DataFrame, masks: DataFrame | None, on: list[str], value: str, metrics: list[str] | dict, keys: list[str], predict=None) -> DataFrame:
+    """``suite`` of every area against stored masks or, where ``predict`` is given, against fresh predictions of ``truth``'s pixels."""
+    if (masks is None) == (predict is None):
+        raise ValueError("either stored masks or a predictor")
+    return suite(predict(truth) if predict else masks, truth, on, value, metrics, keys)
+
+
 def same_pixels(pred: DataFrame, truth: DataFrame, on: list[str]) -> None:
     """AssertionError unless both sides have the same keys."""
     a, b = pred.select(*on, F.lit(1).alias("_a")), truth.select(*on, F.lit(1).alias("_b"))

@@ -35,15 +35,16 @@ def pick(ts: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def resample(ts: DataFrame, keys: str | list[str], date: str, value: str, days: int = 30, fill: float | None = 0.0) -> DataFrame:
     """Mean of each bin of ``days`` days from the key's own first date; empty bins are filled, means cut to whole numbers.
 
-    One scan and one shuffle: first dates, bins and gaps all need the rows by key,
-    and a partitioning by key serves the grouping by key and bin too. A gap is the
-    distance to the next bin, exploded.
+    Rows combine by key and date before the shuffle, so that only as many rows as a
+    key has dates are windowed by key, however many it has. A gap is the distance to
+    the next bin, exploded.
     """
     keys = [keys] if isinstance(keys, str) else keys
     w = Window.partitionBy(*keys)
-    d = ts.withColumn("_d0", F.min(date).over(w))
-    number = F.floor(F.date_diff(date, "_d0") / days).cast("int").alias("_bin")
-    bins = d.groupBy(*keys, "_d0", number).agg(F.avg(value).alias("_mean"))
+    d = ts.groupBy(*keys, F.to_date(date).alias("_d")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    d = d.withColumn("_d0", F.min("_d").over(w))
+    number = F.floor(F.date_diff("_d", "_d0") / days).cast("int").alias("_bin")
+    bins = d.groupBy(*keys, "_d0", number).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_mean"))
     bins = bins.withColumn("_next", F.lead("_bin").over(w.orderBy("_bin")))
     out = bins.withColumn("_at", F.explode(F.sequence("_bin", F.coalesce(F.col("_next") - 1, F.col("_bin")))))
     v = F.when(F.col("_at") == F.col("_bin"), F.col("_mean"))

@@ -19,6 +19,12 @@ def area_points(water_ts: DataFrame, area_id: int | list[int] | None = None, con
     return timeseries.latest_run(d, ["area_id", "date", "constellation"])
 
 
+def of_model(water_ts: DataFrame, model: str) -> DataFrame:
+    """Rows of the runs of one model, whose ids hold its name between hyphens: ``%-<model>-%``. The predicate reaches the scan."""
+    name = model.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return water_ts.where(F.col("run_id").like(f"%-{name}-%"))
+
+
 def resampled(points: DataFrame, days: int = 30) -> DataFrame:
     """Whole mean areas in bins of ``days`` days from each series' first date; empty bins are 0."""
     return timeseries.resample(points, ["area_id", "constellation"], "date", "area", days)

@@ -5,7 +5,7 @@ event type = constellation, value = area, id = run), ``embeddings`` are 8 x 8
 frames or 64-band pixels, ``orders`` is a long series, ``lineitem`` a wide fact.
 """
 
-from tarn.queries import cubes, relations, series
+from tarn.queries import cubes, engine, relations, scenes, series
 from tarn.queries.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cubes", "relations", "series"]
+__all__ = ["QUERIES", "SQL", "cubes", "engine", "relations", "scenes", "series"]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,16 @@ def query(sql: str | None = None):
     return wrap
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; without a cluster, a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tarn-")
+    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
 def water_ts(t) -> DataFrame:
     """``events`` as the area fact; run ids of several lengths, some without a version."""
     e = t("events")

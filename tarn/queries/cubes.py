@@ -243,23 +243,66 @@ def grid_sampler(t, spark):
     return chips.grid_sampler(t("embeddings").select("vec_id"), 8, 3, 3)
 
 
-@query(FRAMES + """, k AS (SELECT vec_id % 4 AS xloc, vec_id // 4 AS yloc, y, x, v FROM f WHERE vec_id < 16)
+@query(FRAMES + """, k AS (SELECT vec_id % 32 AS xloc, vec_id // 32 AS yloc, y, x, v FROM f)
 SELECT CAST(((SELECT max(yloc) FROM k) - yloc) * 8 + y AS BIGINT) AS gy, CAST(xloc * 8 + x AS BIGINT) AS gx, round(CAST(v AS DOUBLE), 6) AS v FROM k""")
 def mosaic(t, spark):
-    """Sixteen frames as one 4 x 4 mosaic."""
-    f = frames(t).where("vec_id < 16").withColumnRenamed("vec_id", "tile_id")
-    tiles = t("embeddings").where("vec_id < 16").select(F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 4).alias("xloc"), F.floor(F.col("vec_id") / 4).alias("yloc"))
+    """All frames as one mosaic, 32 in a row."""
+    f = frames(t).withColumnRenamed("vec_id", "tile_id")
+    tiles = t("embeddings").select(F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 32).alias("xloc"), F.floor(F.col("vec_id") / 32).alias("yloc"))
     return chips.mosaic(f, tiles, 8).select("gy", "gx", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
-@query()
+def _grown(new: str, old: str, edge: str, test: str) -> str:
+    """A 3 x 3 dilation or erosion of a table of all pixels; beyond the frame is ``edge``."""
+    return f"""{new} AS (SELECT a.vec_id, a.y, a.x, {test}(b.m) {edge} AS m FROM {old} a JOIN {old} b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)"""
+
+
+def _large(new: str, old: str, wanted: str, limit: int) -> str:
+    """Pixels of ``old`` that are ``wanted``, with their component and its size, by reaching out from every pixel."""
+    return f"""{new}_r(vec_id, y, x, c) AS (SELECT vec_id, y, x, y * 8 + x FROM {old} WHERE {wanted}
+  UNION SELECT b.vec_id, b.y, b.x, r.c FROM {new}_r r JOIN {old} b ON r.vec_id = b.vec_id AND abs(r.y - b.y) <= 1 AND abs(r.x - b.x) <= 1 WHERE {wanted.replace('m', 'b.m')}),
+{new} AS (SELECT vec_id, y, x, min(c) AS c FROM {new}_r GROUP BY ALL HAVING count(*) >= {limit})"""
+
+
+def cleaned_sql(mask: str, limit: int) -> str:
+    """Tables up to ``k``, the pixels (vec_id, y, x, c) of the cleaned components of ``p`` (all pixels with m)."""
+    return f"""WITH RECURSIVE {mask}, {_grown('d', 'p', '', 'bool_or')}, {_grown('e', 'd', '', 'bool_and')}, {_large('g', 'e', 'NOT m', limit)},
+h AS (SELECT vec_id, y, x, e.m OR g.c IS NULL AS m FROM e LEFT JOIN g USING (vec_id, y, x)), {_large('k', 'h', 'm', limit)}"""
+
+
+MASK = FRAMES.removeprefix("WITH ") + ", p AS (SELECT vec_id, y, x, v > 0 AS m FROM f)"
+
+
+@query(cleaned_sql(MASK, 3) + """ SELECT vec_id, CAST(count(k.c) AS DOUBLE) AS area FROM (SELECT DISTINCT vec_id FROM f) LEFT JOIN
+  (SELECT vec_id, c FROM k WHERE (vec_id, c) IN (SELECT vec_id, c FROM k WHERE y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4)) k USING (vec_id) GROUP BY vec_id""")
 def component_area(t, spark):
     """Pixels of cleaned components of each frame that touch its middle."""
     d = mask(t).withColumn("mid", (F.col("y").between(3, 4) & F.col("x").between(3, 4)).cast("int"))
     return fr.cleaned_area(d, ["vec_id"], "mask", "mid", 1, 3)
 
 
-@query()
+COLOUR = """, q AS (SELECT *, (nir - red) / nullif(nir + red, 0) AS ndvi, greatest(swir2, nir, red) AS val, greatest(swir2, nir, red) - least(swir2, nir, red) AS d1,
+  greatest(nir, green, blue) AS val2, greatest(nir, green, blue) - least(nir, green, blue) AS d2 FROM s),
+h0 AS (SELECT *, CASE WHEN d1 = 0 THEN 0 WHEN red = val THEN 4 + (swir2 - nir) / d1 WHEN nir = val THEN 2 + (red - swir2) / d1 ELSE (nir - red) / d1 END / 6 AS h1,
+  CASE WHEN d2 = 0 THEN 0 WHEN blue = val2 THEN 4 + (nir - green) / d2 WHEN green = val2 THEN 2 + (blue - nir) / d2 ELSE (green - blue) / d2 END / 6 AS h2 FROM q),
+b AS (SELECT *, (h1 - floor(h1)) * 360 AS hue, coalesce(d1 / nullif(val, 0), 0) AS sat, (h2 - floor(h2)) * 360 AS hue2, coalesce(d2 / nullif(val2, 0), 0) AS sat2 FROM h0)"""
+
+
+def mask_sql() -> str:
+    """The mask over ``b``, as text; confusion 6 without a thermal band, 2d by its hue."""
+    p = {k: _planes(v) for k, v in (rules.BUILT_IN | rules.OPTIONAL).items()} | {"confusion2d": f"hue2 > {rules.HUE2_2D}", "confusion6": "hue > -100"}
+    water = f"((val < {rules.WATER_VAL} AND {_planes(rules.WATER1)}) OR (val < {rules.WATER_VAL} AND {_planes(rules.WATER2)})) <> (swir1 < 0 OR swir2 < 0)"
+    groups = [("1a", "1b"), ("2a", "2b", "2c", "2d"), ("3a", "3b", "4a", "4b")]
+    tests = ["(" + " OR ".join(f"coalesce({p['confusion' + g]}, FALSE)" for g in group) + ")" for group in groups]
+    return " AND ".join([f"coalesce({water}, FALSE)", *tests, f"(coalesce({p['confusion6']}, FALSE) OR coalesce({p['clouds']}, FALSE))"])
+
+
+PX = """, s AS (SELECT vec_id, y, x, (CAST(v AS DOUBLE) + 1) / 8 AS nir, (CAST(v AS DOUBLE) + 1) / 4 AS red, CAST(v AS DOUBLE) + 1 AS green, (CAST(v AS DOUBLE) + 1) / 4 AS blue,
+  (CAST(v AS DOUBLE) + 1) / 4 AS swir1, (CAST(v AS DOUBLE) + 0.5) / 4 AS swir2 FROM f)"""
+
+
+@query(cleaned_sql(FRAMES.removeprefix("WITH ") + PX + COLOUR + f", p AS (SELECT vec_id, y, x, {mask_sql()} AS m FROM b)", 2)
+       + """ SELECT vec_id AS area_id, 'landsat-8' AS constellation, DATE '2020-01-01' AS date, count(k.c) * 900.0::DOUBLE AS area FROM (SELECT DISTINCT vec_id FROM f) LEFT JOIN k USING (vec_id) GROUP BY vec_id""")
 def water_area_series(t, spark):
     """Imagery to area series: classify pixels, clean frames, sum."""
     from tarn.plans.water import area_series
@@ -277,7 +320,13 @@ def scored_chips(t, spark):
     return d.select("vec_id", F.size(F.filter("classes", lambda c: c == 1)).alias("n"))
 
 
-@query()
+def _digest(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH h AS (SELECT vec_id, {_digest('vec_id', '7')} AS h FROM embeddings), r AS (SELECT vec_id, row_number() OVER (ORDER BY h % 4096, h, vec_id) - 1 AS r FROM h),
+d AS (SELECT a AS draw, {_digest('a', '9')} % (SELECT count(*) FROM embeddings) AS r FROM generate_series(0, 63) s(a))
+SELECT draw, vec_id, CAST(k AS INTEGER) AS k, CAST({_digest('draw', 'k', '10')} % 6 AS INTEGER) AS i, CAST({_digest('draw', 'k', '11')} % 6 AS INTEGER) AS j FROM d JOIN r USING (r), generate_series(0, 3) g(k)""")
 def random_sampler(t, spark):
     """Frames drawn with replacement and random chip offsets, the same at every run."""
     return chips.random_sampler(t("embeddings").select("vec_id"), 8, 3, 64, 4, 7)

@@ -39,9 +39,8 @@ def on_label_dates(t, spark):
 SELECT tile_id, date, a.v AS v_true, b.v AS v_pred FROM a JOIN b USING (tile_id, date)""")
 def paired_series(t, spark):
     e = ev(t)
-    lo, hi = e.agg(F.min("c"), F.max("c")).collect()[0]
-    one = lambda c: e.where(F.col("c") == c).groupBy("tile_id", "date").agg(F.max("v").alias("v"))
-    return align.paired(one(lo), one(hi), ["tile_id", "date"], "v")
+    one = lambda end: e.where(F.col("c") == e.agg(end("c")).scalar()).groupBy("tile_id", "date").agg(F.max("v").alias("v"))
+    return align.paired(one(F.min), one(F.max), ["tile_id", "date"], "v")
 
 
 @query("SELECT o.o_orderkey, o.o_orderstatus, c.c_acctbal, c.c_nationkey FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o.o_custkey = c.c_custkey")
@@ -107,16 +106,17 @@ def dates_intersection(t, spark):
     return e.where("tile_id % 2 = 0").select("date").intersect(e.where("tile_id % 2 = 1").select("date"))
 
 
-@query(D + " SELECT c, date FROM d WHERE u % 7 = 0 UNION SELECT c, date FROM d WHERE u % 7 = 1")
+@query(D + " SELECT c, date FROM d WHERE u % 7 = 0 UNION SELECT c, date FROM d WHERE u % 7 <> 0")
 def dates_union(t, spark):
     e = ev(t)
-    return e.where("tile_id % 7 = 0").select("c", "date").union(e.where("tile_id % 7 = 1").select("c", "date")).distinct()
+    return e.where("tile_id % 7 = 0").select("c", "date").union(e.where("tile_id % 7 <> 0").select("c", "date")).distinct()
 
 
-@query(D + " SELECT c, date FROM d WHERE u % 7 <> 0 EXCEPT SELECT c, date FROM d WHERE u % 7 = 0")
+@query(D + " SELECT c, date, u FROM d WHERE u % 7 <> 0 EXCEPT SELECT c, date, u + 1 FROM d")
 def dates_difference(t, spark):
+    """Dates of an area on which its neighbour has none."""
     e = ev(t)
-    return e.where("tile_id % 7 <> 0").select("c", "date").subtract(e.where("tile_id % 7 = 0").select("c", "date"))
+    return e.where("tile_id % 7 <> 0").select("c", "date", F.col("tile_id").alias("u")).subtract(e.select("c", "date", F.col("tile_id") + 1))
 
 
 @query("SELECT k, max(v) AS v FROM (SELECT o_custkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer) GROUP BY k")

@@ -187,7 +187,7 @@ def json_keyed_values(t, spark):
     from tarn.sources.tables import keyed_values
 
     e = t("events")
-    label = e.agg(F.min("event_type")).collect()[0][0]
+    label = e.agg(F.min("event_type")).scalar()
     d = e.select(F.col("user_id").alias("aoi_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"), F.array("event_type").alias("labels"), F.from_json("props", "map<string,string>").alias("keyed_values"))
     return keyed_values(d, label, "k")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,38 @@ def water_list(table: DataFrame, ids: list[int]) -> DataFrame:
     return table.where(F.col("area_id").isin(ids)).select("area_id", "name", F.unhex("geom").alias("geom"))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))))
+def wkb_rings(geometry: pd.Series) -> pd.Series:
+    """Rings of well-known binary polygons and multipolygons of either byte order; a point is a ring of one. Null stays null; anything else is an error."""
+
+    def read(data: bytes, at: int) -> tuple[list, int]:
+        order = "<" if data[at] else ">"
+        kind, at = struct.unpack_from(order + "I", data, at + 1)[0], at + 5
+
+        def points(n: int, at: int) -> tuple[list, int]:
+            flat = struct.unpack_from(f"{order}{2 * n}d", data, at)
+            return [{"x": a, "y": b} for a, b in zip(flat[::2], flat[1::2], strict=True)], at + 16 * n
+
+        if kind == 1:
+            ring, at = points(1, at)
+            return [ring], at
+        if kind not in (3, 6):
+            raise ValueError(f"not a point, polygon or multipolygon: {kind}")
+        n, at = struct.unpack_from(order + "I", data, at)[0], at + 4
+        rings = []
+        for _ in range(n):
+            if kind == 6:
+                inner, at = read(data, at)
+                rings += inner
+            else:
+                size, at = struct.unpack_from(order + "I", data, at)[0], at + 4
+                ring, at = points(size, at)
+                rings.append(ring)
+        return rings, at
+
+    return geometry.map(lambda g: None if g is None else read(bytes(g), 0)[0])
+
+
 def read_index_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("dataset_index int, timestamp string, i int, j int").csv(path, header=False)
 

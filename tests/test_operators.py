@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn import dims
 from tarn.functions import pixel
-from tarn.operators import aggregate, align, chips, geo, graph, metrics, rules, timeseries
+from tarn.operators import aggregate, align, chips, frames, geo, graph, metrics, rules, timeseries
 from tarn.plans import models, water
 
 SEG = [[[0, 0, 0, 1], [0, 1, 1, 1], [0, 0, 1, 1]], [[0, 0, 0, 0], [0, 1, 0, 1], [0, 0, 1, 1]]]
@@ -308,3 +308,36 @@ def test_random_sampler(spark):
 def test_crop(spark):
     d = long(spark, SEG)
     assert chips.crop(d, 1, 1, 2).where("t = 0").count() == 4
+
+
+def test_frames_lie_anywhere(spark):
+    """Coordinates may be negative or far from 0; components keep them."""
+    at = [(-1, -1), (-1, 0), (0, -1), (0, 0), (5, 1_000_000)]
+    d = spark.createDataFrame([(1, y, x, 1) for y, x in at[:4]] + [(2, y + 3_000_000, x + 500_000, 1) for y, x in at[:4]], "f int, y int, x int, mask int")
+    got = {(r.f, r.y, r.x, r.component) for r in frames.components(d, ["f"], limit=2).collect()}
+    assert got == {(1, y, x, 1) for y, x in at[:4]} | {(2, y + 3_000_000, x + 500_000, 1) for y, x in at[:4]}
+
+
+def test_random_sampler_draws_alike(spark):
+    f = spark.range(2000).withColumnRenamed("id", "vec_id")
+    draws = chips.random_sampler(f, 8, 3, 1000, 1, 7)
+    n = draws.select("vec_id").distinct().count()
+    assert draws.count() == 1000 and 730 < n < 840  # 787 are expected with replacement
+    assert chips.random_sampler(f.limit(0), 8, 3, 10, 2).count() == 0
+
+
+def test_describe_ranks_exactly(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.r_[rng.normal(0, 50, 501), np.zeros(40), np.full(60, -3.25), 1e9, -1e-9]
+    d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    r = aggregate.describe(d, "v").collect()[0]
+    assert r["count"] == len(v) and [r.q25, r.q50, r.q75] == pytest.approx(np.percentile(v, [25, 50, 75]).tolist())
+
+
+def test_runs_of_a_model(spark):
+    from tarn.plans import water
+
+    d = spark.createDataFrame([("a-c_n-1",), ("a-cxn-1",), ("c_n",), (None,)], "run_id string")
+    assert [r.run_id for r in water.of_model(d, "c_n").collect()] == ["a-c_n-1"]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tarn.llm.store import buckets, cuts, deal, packed, planes, reclaim, stash, unpacked, unplanes
 from tarn.llm.text import chunks, mix
-from tarn.llm.units import by_unit, distinct, merged, with_unit
+from tarn.llm.units import by_unit, distinct, grouped, merged, with_unit
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Longest n-grams of the registered model, in words.
@@ -246,9 +246,8 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", mu: flo
         known = np.add.reduceat((word > 0).astype(np.int64), first[:-1])
         return pa.table([docs["key"], pa.array(~docs["train"].to_numpy()), longs(np.diff(first)), longs(known), longs(np.full(docs.num_rows, total)), pa.array(base), pa.array(a.read(first, order))], names=schema.names)
 
-    # both sides are dealt by unit into as many tasks as the input has buckets
-    rows, answers = rows.repartition(n, "unit"), answers.select("unit", "bucket", "level", "counts").repartition(n, "unit")
-    return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda a, b: run(a, b), schema)
+    answers = answers.select("unit", "bucket", "level", "counts")
+    return grouped(rows, n).cogroup(grouped(answers, n)).applyInArrow(lambda a, b: run(a, b), schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

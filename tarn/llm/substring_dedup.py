@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.store import buckets, cuts, deal, packed, planes, reclaim, stash, unpacked, unplanes
 from tarn.llm.text import chunks, grams, utf8
-from tarn.llm.units import by_unit, distinct, merged, with_unit
+from tarn.llm.units import by_unit, distinct, grouped, merged, with_unit
 
 WINDOW, SEED = 20, 10
 _NO_KEY = np.iinfo(np.int64).max
@@ -244,15 +244,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     rows = with_unit(df, [F.col(text).alias("text"), F.col(key).cast("long").alias("key")], text)
     asked = deal(rows.select("unit", "text").mapInArrow(_ask(n, window, seed), "unit long, bucket int, keys binary, counts binary"), n).mapInArrow(_repeated, ANSWER)
     extend, close = _extend(n, window, seed, texts), _close(window, texts)
-    # both sides are dealt by unit into as many tasks as the input has buckets
-    grouped = lambda d: d.repartition(n, "unit").groupBy("unit")
-    found = grouped(rows).cogroup(grouped(asked)).applyInArrow(lambda a, b: extend(a, b), FOUND)
+    found = grouped(rows, n).cogroup(grouped(asked, n)).applyInArrow(lambda a, b: extend(a, b), FOUND)
     found = stash(found, "substrings")
     reclaim(df.sparkSession)
     blobs = found.where("bucket is not null").select("unit", "bucket", *PARTS)
     later = deal(blobs, n).mapInArrow(_first, "unit long, rows binary, starts binary")
     waiting = found.where("pending is not null").select("unit", "row", "key", "pending", "removed")
-    closed = grouped(waiting).cogroup(grouped(later)).applyInArrow(lambda a, b: close(a, b), RESULT)
+    closed = grouped(waiting, n).cogroup(grouped(later, n)).applyInArrow(lambda a, b: close(a, b), RESULT)
     out = found.where("kept_sha256 is not null").select(*_RESULT).unionByName(closed)
     return out.withColumnRenamed("key", key)
 

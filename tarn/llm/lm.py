@@ -247,7 +247,8 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", mu: flo
         return pa.table([docs["key"], pa.array(~docs["train"].to_numpy()), longs(np.diff(first)), longs(known), longs(np.full(docs.num_rows, total)), pa.array(base), pa.array(a.read(first, order))], names=schema.names)
 
     answers = answers.select("unit", "bucket", "level", "counts")
-    return grouped(rows, n).cogroup(grouped(answers, n)).applyInArrow(lambda a, b: run(a, b), schema)
+    # more tasks than buckets, so that each has few units
+    return grouped(rows, 4 * n).cogroup(grouped(answers, 4 * n)).applyInArrow(lambda a, b: run(a, b), schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

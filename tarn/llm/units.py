@@ -65,13 +65,9 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield k, pa.Table.from_batches(rows)
 
 
-#: Tasks for each bucket where rows and answers meet by unit, so that a task has few units.
-_TASKS = 4
-
-
-def grouped(df: DataFrame, n: int):
-    """``df`` grouped by unit, for ``cogroup``; both sides are dealt alike, by the number of buckets."""
-    return df.repartition(_TASKS * n, "unit").groupBy("unit")
+def grouped(df: DataFrame, tasks: int):
+    """``df`` grouped by unit, for ``cogroup``: both sides are dealt alike, into so many tasks."""
+    return df.repartition(tasks, "unit").groupBy("unit")
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

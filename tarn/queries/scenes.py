@@ -22,7 +22,7 @@ def key() -> Column:
 
 # files
 
-@query(FRAMES + """ SELECT vec_id % 5 AS tile, DATE '2020-01-01' + CAST(vec_id % 4 AS INTEGER) AS date, count(*) AS n, sum(CAST(v > 0 AS INTEGER)) AS water FROM f WHERE vec_id % 4 BETWEEN 1 AND 2 AND vec_id % 5 IN (0, 2, 3) GROUP BY ALL""")
+@query(FRAMES + """ SELECT vec_id % 5 AS tile, DATE '2020-01-01' + CAST(vec_id % 4 AS INTEGER) AS date, count(*) AS n, CAST(sum(CAST(v > 0 AS INTEGER)) AS BIGINT) AS water FROM f WHERE vec_id % 4 BETWEEN 1 AND 2 AND vec_id % 5 IN (0, 2, 3) GROUP BY ALL""")
 def tile_store(t, spark):
     """Masks written by partition, twice, and read back by constellation, tiles, dates and band."""
     root = scratch(spark)

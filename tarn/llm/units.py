@@ -2,6 +2,8 @@
 
 A unit is a block of consecutive rows of one file, whichever tasks read it, so that
 a rerun after a loss, or with other splits, deals the same rows to the same units.
+The units of a file have consecutive numbers and are dealt to tasks in turn, which
+is more even than by a hash of each.
 The rows of a block are of one class of length, and the longer they are, the fewer
 are in a block: a unit has less than ``ROWS * SHORT`` bytes, or is one row. A unit
 sends each bucket the distinct hashes it holds; the bucket
@@ -21,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.store import stash
+from tarn.llm.store import deal, stash
 
 #: Rows of a unit whose texts have at most ``SHORT`` bytes. Each next class of texts is 16 times as long, in blocks of a 16th of the rows.
 ROWS, SHORT = 2048, 1 << 14
@@ -35,7 +37,8 @@ def with_unit(df: DataFrame, columns: list[Column | str], text: str) -> DataFram
     def unit(c: str) -> Column:
         size = F.coalesce(F.octet_length(F.col(c)), F.lit(0))
         rows = F.when(size <= SHORT, ROWS).when(size <= SHORT * 16, ROWS // 16).when(size <= SHORT * 256, ROWS // 256).otherwise(1)
-        return F.xxhash64(F.col("_metadata.file_path"), rows, F.floor(F.col("_metadata.row_index") / rows)).alias("unit")
+        # shifted, so that the number of the block is added without overflow
+        return (F.shiftright(F.xxhash64(F.col("_metadata.file_path"), rows), 2) + F.floor(F.col("_metadata.row_index") / rows)).alias("unit")
 
     try:
         return df.select(unit(text), *columns)
@@ -66,8 +69,8 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
 
 
 def grouped(df: DataFrame, tasks: int):
-    """``df`` grouped by unit, for ``cogroup``: both sides are dealt alike, into so many tasks."""
-    return df.repartition(tasks, "unit").groupBy("unit")
+    """``df`` grouped by unit, for ``cogroup``: both sides are dealt alike, into so many tasks. Blocks of a file follow each other's tasks in turn."""
+    return deal(df.withColumn("task", F.pmod("unit", F.lit(tasks)).cast("int")), tasks, "task").groupBy("task", "unit")
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

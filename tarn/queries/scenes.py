@@ -8,6 +8,7 @@ from tarn.plans import water
 from tarn.queries.base import FRAMES, query, scratch, water_ts
 from tarn.queries.base import frames as frames_of
 from tarn.sources import items, metadata, sinks, tables
+from tarn.sources import scenes as complete
 
 
 def text(*parts) -> Column:
@@ -233,6 +234,57 @@ def item_search(t, spark):
     return tables.search_items(d, "sentinel1-grd", (100, 0, 700, 5), (3, 9), {"p_size": {"in": [10, 20, 30]}}, "ascending").select("id")
 
 
+SENSOR = "s AS (SELECT c_custkey AS k, c_custkey % 4 = 0 AS scanner, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 8 < 4 THEN 2 ELSE 4 END WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 8 END AS sat, c_custkey % 3 <> 0 AS l2 FROM customer)"
+
+
+@query(f"""WITH {SENSOR} SELECT k AS key, 'landsat-' || sat AS platform, CAST(CASE WHEN scanner THEN 79 ELSE 30 END AS INTEGER) AS gsd, CASE k % 4 WHEN 0 THEN 'mss' WHEN 1 THEN 'tm' WHEN 2 THEN 'etm+' ELSE 'oli,tirs' END AS instruments,
+  CAST(CASE WHEN scanner THEN 2 WHEN l2 THEN 4 ELSE 3 END AS INTEGER) AS n_assets, 's3://bucket/scene' || k || CASE WHEN sat = 2 THEN '_B4.TIF' ELSE '_B1.TIF' END AS green, CASE WHEN sat = 2 THEN 'B4' ELSE 'B1' END AS band,
+  CASE WHEN NOT scanner OR sat = 4 AND k % 60 <> 0 THEN 'u' END AS unit, CASE WHEN NOT scanner THEN 0.5 WHEN sat = 4 AND k % 60 <> 0 THEN CAST('0.01' || (k % 9) AS DOUBLE) END AS scale,
+  CASE WHEN l2 AND NOT scanner THEN CAST(CASE k % 4 WHEN 1 THEN 120 WHEN 2 THEN 60 ELSE 100 END AS INTEGER) END AS thermal_gsd, CAST(CASE WHEN l2 THEN 2 ELSE 1 END AS INTEGER) AS n_via, 'Level-' || CASE WHEN l2 THEN 2 ELSE 1 END || ' file' AS described FROM s""")
+def scene_items(t, spark):
+    """Items of all four sensors from a table of asset definitions."""
+    letter = F.element_at(F.array(*map(F.lit, "MTEC")), (key() % 4 + 1).cast("int"))
+    satellite = F.when(key() % 8 == 0, "2").when(key() % 4 == 0, "4").when(key() % 4 == 1, "5").when(key() % 4 == 2, "7").otherwise("8")
+    d = t("customer").select(key().alias("key"), F.regexp_replace(scene_xml(), F.lit(r"<LANDSAT_PRODUCT_ID>LC0\d"), F.concat(F.lit("<LANDSAT_PRODUCT_ID>L"), letter, F.lit("0"), satellite)).alias("value"), text("s3://bucket/scene", key(), "_MTL.xml").alias("href"))
+    asset = lambda title, end, description=None: (title, description, None, ["data"], end)
+    own = lambda sensor: (("B1", "uint8", None, "u", None, None, 60.0) if sensor == "mss" else (None, "uint16", "0", "u", 0.5, 0.0, 30.0))
+    rows = []
+    for sensor in complete.INSTRUMENTS:
+        rows += [(sensor, "common", 0, "ang", asset("Angles", "ANG.txt"), None, None), (sensor, "common", 1, "mtl.xml", asset("Metadata", "MTL.xml", "Level-X file"), None, None)]
+        rows += [(sensor, "sr", 0, "green", asset("Green (B1)", "B1.TIF"), ("B1", "green", None, 0.55, 0.1), own(sensor))]
+        rows += [(sensor, "st", 0, "lwir11", asset("Thermal", None), None, None)] if sensor != "mss" else []
+    got = complete.scene_items(d, spark.createDataFrame(rows, complete.DEFINITION))
+    a = F.col("assets")
+    green, thermal = a["green"], F.try_element_at(a, F.lit("lwir11"))
+    return got.select(F.regexp_extract(a["mtl.xml"]["href"], r"scene(\d+)", 1).cast("long").alias("key"), "platform", "gsd", F.array_join("instruments", ",").alias("instruments"), F.size(a).alias("n_assets"), green["href"].alias("green"), green["band"]["name"].alias("band"), green["raster"]["unit"].alias("unit"), green["raster"]["scale"].alias("scale"), thermal["gsd"].alias("thermal_gsd"), F.size("via").alias("n_via"), a["mtl.xml"]["description"].alias("described"))
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 0.0::DOUBLE END AS off_nadir, CAST(CASE WHEN c_custkey % 3 = 0 THEN 16 ELSE 25 END AS INTEGER) AS n_assets, 30.0::DOUBLE AS red_gsd, 'red' AS red, 0.65::DOUBLE AS wavelength, CAST(201 AS INTEGER) AS samples,
+  CASE WHEN c_custkey % 3 <> 0 THEN 100.0::DOUBLE END AS thermal_gsd, CASE WHEN c_custkey % 3 = 0 THEN 'L1TP' ELSE 'L2SP' END AS level, CAST(32601 + c_custkey % 60 AS INTEGER) AS epsg, lpad(CAST(c_custkey % 233 + 1 AS VARCHAR), 3, '0') || '/' || lpad(CAST(c_custkey % 99 + 1 AS VARCHAR), 3, '0') AS page FROM customer""")
+def older_scene_items(t, spark):
+    """Items of the older form: distances, bands and shapes of each image."""
+    d = complete.legacy_items(scenes(t))
+    a = F.col("assets")
+    red, thermal = a["SR_B4"], F.try_element_at(a, F.lit("ST_B10"))
+    return d.select(F.regexp_extract(a["MTL.xml"]["href"], r"scene(\d+)", 1).cast("long").alias("key"), "off_nadir", F.size(a).alias("n_assets"), red["gsd"].alias("red_gsd"), red["band"]["common_name"].alias("red"), red["band"]["center_wavelength"].alias("wavelength"), red["proj_shape"][1].alias("samples"), thermal["gsd"].alias("thermal_gsd"), F.col("properties")["landsat:processing_level"].alias("level"), "epsg", F.regexp_extract("alternate", r"/2020/(\d+/\d+)/", 1).alias("page"))
+
+
+@query("""SELECT c_custkey AS key, 'S1A_IW_' || c_custkey AS id, 'SENTINEL-1A' AS platform, make_timestamp(2020, 1, 1, 0, 0, 15 + (c_custkey % 20) / 2.0) AS datetime, (c_custkey % 180)::DOUBLE AS min_x, (c_custkey % 80)::DOUBLE AS min_y, (c_custkey % 180 + 2)::DOUBLE AS max_x,
+  CASE WHEN c_custkey % 2 = 0 THEN 'calibration-iw-vh,noise-iw-vh,product-iw-vh,safe-manifest,thumbnail,vh' ELSE 'product-iw-vh,safe-manifest,thumbnail,vh,vv' END AS assets, CAST(c_custkey + 1 AS INTEGER) AS samples, 's3://b/S1A_IW_' || c_custkey || '.SAFE/preview/quick-look.png' AS thumbnail FROM customer""")
+def radar_items(t, spark):
+    """Radar items with their assets."""
+    tag = lambda n, *v: (f"<{n}>", *v, f"</{n}>")
+    stop = F.date_format(F.timestamp_micros(F.unix_micros(F.lit("2020-01-01 00:00:20").cast("timestamp")) + key() % 20 * 1000000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    xml = text("<m xmlns:safe='a' xmlns:gml='b'>", *tag("safe:familyName", "SENTINEL-1"), *tag("safe:number", "A"), *tag("safe:startTime", "2020-01-01T00:00:10.000000"), *tag("safe:stopTime", stop), *tag("gml:coordinates", key() % 80, ",", key() % 180, " ", key() % 80 + 1, ",", key() % 180 + 2), "</m>")
+    base = text("s3://b/S1A_IW_", key(), ".SAFE/")
+    at = lambda *paths: F.array(*(F.concat(base, F.lit(p)) for p in ("annotation/iw-vh.xml", "measurement/iw-vh.tiff", *paths)))
+    files = F.when(key() % 2 == 0, at("annotation/calibration/calibration-iw-vh.xml", "annotation/calibration/noise-iw-vh.xml")).otherwise(at("measurement/iw-vv.tiff", "support/a.xsd"))
+    shape = text("<a>", *tag("numberOfSamples", key() + 1), *tag("numberOfLines", "7"), "</a>")
+    d = complete.radar_items(t("customer").select(xml.alias("value"), shape.alias("annotation"), F.concat(base, F.lit("manifest.safe")).alias("href"), files.alias("files")))
+    b = F.col("bbox")
+    return d.select(F.element_at(F.split("id", "_"), -1).cast("long").alias("key"), "id", "platform", F.col("datetime").cast("timestamp_ntz").alias("datetime"), b[0].alias("min_x"), b[1].alias("min_y"), b[2].alias("max_x"), F.array_join(F.array_sort(F.map_keys("assets")), ",").alias("assets"), F.col("proj_shape")[0].alias("samples"), F.col("assets")["thumbnail"]["href"].alias("thumbnail"))
+
+
 # graph
 
 @query("""SELECT 'revisit' AS kind, count(*) AS n, min(CAST(event_id AS VARCHAR)) AS first FROM events UNION ALL SELECT 'captures', count(*), min(event_type) FROM events UNION ALL SELECT 'on', count(*), min(CAST(event_id AS VARCHAR)) FROM events""")

@@ -216,3 +216,65 @@ def test_geometry_fallback(spark):
     g = lambda rows: spark.createDataFrame(rows, "id string, geometry string")
     got = {r.id: r.geometry for r in items.with_geometry(i, g([("a", "s")]), g([("a", "v"), ("b", "v"), ("c", "v"), ("c", "w")])).collect()}
     assert got == {"a": "s", "b": "v", "c": None}
+
+
+def test_definitions(spark, tmp_path):
+    import json
+
+    from tarn.sources import scenes
+
+    def put(name, content):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(json.dumps(content))
+
+    put("common/common-assets.json", {"mtl.xml": {"title": "m", "type": "XML", "description": "of Level-X", "href_suffix": "MTL.xml"}, "ang": {"title": "a", "type": "TEXT", "href_suffix": "ANG.txt"}})
+    put("oli_tirs/sr-assets.json", {"qa_pixel": {"title": "q", "roles": ["cloud"]}, "red": {"title": "Red (B4)", "href_suffix": "SR_B4.TIF"}})
+    put("oli_tirs/sr-eo-bands.json", {"red": {"name": "OLI_B4", "common_name": "red", "center_wavelength": 0.65}})
+    put("oli_tirs/sr-raster-bands.json", {"red": {"unit": "u", "scale": 0.5, "nodata": 0}})
+    put("mss/sr-assets.json", {"green": {"title": "Green (B1), satellites 4-5", "href_suffix": "B1.TIF"}})
+    put("mss/sr-raster-bands.json", {"green": {"temp_name": "B1", "unit": "u"}})
+    defs = scenes.read_definitions(spark, str(tmp_path))
+    assert defs.where("sensor = 'oli-tirs'").count() == 4 and defs.where("sensor = 'tm'").count() == 2
+    d = spark.createDataFrame([(XML, "s3://b/LC08_x_MTL.xml")], "value string, href string")
+    r = scenes.scene_items(d, defs).collect()[0]
+    assert scenes.scene_items(d, defs).select(F.map_keys("assets")).collect()[0][0] == ["mtl.xml", "ang", "qa_pixel", "red"]
+    assert r.assets["qa_pixel"].href == "s3://b/LC08_x_QA_PIXEL.TIF" and r.assets["qa_pixel"].type == scenes.COG
+    assert r.assets["mtl.xml"].description == "of Level-2" and r.assets["mtl.xml"].type == "application/xml"
+    red = r.assets["red"]
+    assert red.band.name == "OLI_B4" and red.raster.scale == 0.5 and red.raster.unit == "u" and red.gsd is None and r.assets["ang"].raster is None
+    assert r.via[1].endswith("/landsat-c2l2-st/items/LC08_L2SP_017036_20130419_20200913_02_T2_ST") and r.epsg == 32617 and r.doi == "10.5066/P9OGBGM6"
+    scanner = lambda satellite: d.withColumn("value", F.replace("value", F.lit("LC08_L2SP"), F.lit(f"LM0{satellite}_L1TP")))
+    late, early = (scenes.scene_items(scanner(n), defs).collect()[0].assets["green"] for n in (4, 2))
+    assert late.raster.scale == 0.0125 and late.raster.offset == -62.3 and late.raster.unit == "u" and late.href.endswith("x_B1.TIF")
+    assert early.raster.scale is None and early.raster.unit is None and early.href.endswith("x_B4.TIF") and early.title == "Green (B4), satellites 1-3"
+    put("landsat-c2-l1.json", {"title": "T", "license": "L", "keywords": ["k"], "extent": {"spatial": 1}, "links": [{"rel": "about", "href": "h"}], "item_assets": {"a": {"type": "XML", "title": "t"}}})
+    c = scenes.read_collection(spark, str(tmp_path), "landsat-c2-l1").collect()[0]
+    assert c.id == "landsat-c2-l1" and c.links[0].href == "h" and c.item_assets["a"].type == "application/xml" and json.loads(c.extent) == {"spatial": 1}
+    with pytest.raises(ValueError):
+        scenes.read_collection(spark, str(tmp_path), "other")
+
+
+def test_legacy_items(spark):
+    from tarn.sources import scenes
+
+    d = spark.createDataFrame([(XML, "s3://b/LC08_x_MTL.xml")], "value string, href string")
+    new, old = (scenes.legacy_items(d, legacy=k).collect()[0] for k in (False, True))
+    assert new.alternate.endswith("/2013/017/036/LC08_L2SP_017036_20130419_20200913_02_T2") and old.alternate.endswith("/LC08_L2SP_017036_20130419_02_T2")
+    a = new.assets
+    assert len(a) == 25 and a["SR_B4"].band.common_name == "red" and a["SR_B4"].gsd == 30.0 and a["SR_B4"].proj_shape == [7781, 7621]
+    assert a["ST_B10"].gsd == 100.0 and a["ST_QA"].band is None and a["ST_QA"].proj_shape is None and a["ANG"].gsd is None and new.off_nadir is None
+
+
+def test_radar_items(spark):
+    from tarn.sources import scenes
+
+    xml = "<m xmlns:safe='a' xmlns:gml='b'><safe:startTime>2020-01-01T00:00:00.000000</safe:startTime><safe:stopTime>2020-01-01T00:00:10.000000</safe:stopTime><gml:coordinates>1,2 3,4 5,6</gml:coordinates></m>"
+    base = "s3://b/S1A_X.SAFE/"
+    names = ["annotation/s1a-iw-grd-vh-1.xml", "annotation/calibration/noise-s1a-iw-grd-vh-1.xml", "annotation/calibration/calibration-s1a-iw-grd-vh-1.xml", "measurement/s1a-iw-grd-vh-1.tiff", "preview/x.html"]
+    rows = lambda more: spark.createDataFrame([(xml, "<a/>", base + "manifest.safe", [base + n for n in names + more])], "value string, annotation string, href string, files array<string>")
+    r = scenes.radar_items(rows([])).collect()[0]
+    assert set(r.assets) == {"safe-manifest", "product-vh", "noise-vh", "calibration-vh", "thumbnail", "vh"} and r.id == "S1A_X" and r.bbox == [2.0, 1.0, 6.0, 5.0]
+    assert r.datetime == dt.datetime(2020, 1, 1, 0, 0, 5) and r.assets["vh"].title == "VH - 10m" and r.proj_shape == [None, None]
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        scenes.radar_items(rows(["measurement/iw-vh.tiff"])).collect()

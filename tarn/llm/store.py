@@ -51,6 +51,9 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows between checks of a page's size. Rows of packed arrays can have a megabyte; by default a page takes 100 to
+#: 10,000 rows unchecked, and compressors keep direct buffers of a page's size.
+PAGE_ROWS = 16
 #: Folders of written tables by session, as they are to be removed.
 _written: set[str] = set()
 
@@ -63,7 +66,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_all, spark)
     _written.add(path)
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", "lz4").option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", PAGE_ROWS).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
     return out

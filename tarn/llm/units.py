@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tarn.llm.store import deal, stash
 
 #: Rows of a unit whose texts have at most ``SHORT`` bytes. Each next class of texts is 16 times as long, in blocks of a 16th of the rows.
-ROWS, SHORT = 2048, 1 << 14
+ROWS, SHORT = 1024, 1 << 14
 #: Units that a task gathers at once; those of longer classes lie among the rows of shorter ones.
 _OPEN = 4
 

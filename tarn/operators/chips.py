@@ -26,10 +26,10 @@ def padded(n: Column, to: int) -> Column:
 
 
 def pad(df: DataFrame, keys: list[str], height: int, width: int, to: int, value: str, fill: float | None = 0) -> DataFrame:
-    """Every pixel of each frame's padded grid; absent ones get ``fill``."""
+    """Every pixel of each frame's padded grid; absent ones get ``fill``. The grid is merged, never broadcast: it has many rows for each frame, which Spark's estimate of it lacks."""
     h, w = -(-height // to) * to, -(-width // to) * to
     grid = df.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
-    j = grid.join(df, [*keys, "y", "x"], "left")
+    j = grid.hint("merge").join(df, [*keys, "y", "x"], "left")
     return j.withColumn(value, F.coalesce(F.col(value), F.lit(fill))) if fill is not None else j
 
 
@@ -61,23 +61,36 @@ def target_size(edge: int, source: float, target: float, legacy: bool = False) -
     return n if not legacy else n / 2 if source > target else n * 2
 
 
+def _targets(df: DataFrame, keys: list[str], size: int, target: int, value: str, reach: float, keep) -> DataFrame:
+    """Each pixel of square frames with the target pixels (_y, _x) that it has a part in: ``keep`` of its own and the target's place on an axis.
+
+    ``reach`` is how far, in pixels, targets lie outside a pixel. They are counted up from each pixel
+    and not joined to a grid of all frames: Spark takes such a grid for as small as the list of
+    frames and would broadcast it, through the driver.
+    """
+    d = df.select(*keys, "y", "x", value)
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
+    for c in ("y", "x"):
+        first = F.greatest(F.floor((F.col(c) - reach) * target / size - 0.5), F.lit(0)).cast("int")
+        last = F.least(F.ceil((F.col(c) + 1 + reach) * target / size - 0.5), F.lit(target - 1)).cast("int")
+        d = d.where(F.col(c).between(0, size - 1)).withColumn(f"_{c}", F.explode(F.sequence(first, last))).where(keep(F.col(c), F.col(f"_{c}")))
+    return d
+
+
 def nearest(df: DataFrame, keys: list[str], size: int, target: int, value: str) -> DataFrame:
-    """Square frames resized by nearest neighbour."""
-    src = lambda c: F.floor((c + 0.5) * size / target).cast("int")
-    grid = df.select(*keys).distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(target - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
-    grid = grid.withColumn("y", src(F.col("ty"))).withColumn("x", src(F.col("tx")))
-    return grid.join(df, [*keys, "y", "x"]).select(*keys, F.col("ty").alias("y"), F.col("tx").alias("x"), value)
+    """Square frames resized by nearest neighbour. No join, no shuffle."""
+    d = _targets(df, keys, size, target, value, 0, lambda own, to: F.floor((to + 0.5) * size / target) == own)
+    return d.select(*keys, F.col("_y").alias("y"), F.col("_x").alias("x"), value)
 
 
 def bilinear(df: DataFrame, keys: list[str], size: int, target: int, value: str) -> DataFrame:
-    """Square frames resized by the four neighbours of each target centre; edges are clamped. One join, one aggregate."""
-    grid = df.select(*keys).distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(target - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
-    at = lambda c: F.least(F.greatest((F.col(c) + 0.5) * size / target - 0.5, F.lit(0.0)), F.lit(size - 1.0))
-    grid = grid.withColumn("fy", at("ty")).withColumn("fx", at("tx"))
-    corners = [F.struct(F.least(F.floor("fy") + dy, F.lit(size - 1)).cast("int").alias("y"), F.least(F.floor("fx") + dx, F.lit(size - 1)).cast("int").alias("x"), ((1 - F.abs(F.floor("fy") + dy - F.col("fy"))) * (1 - F.abs(F.floor("fx") + dx - F.col("fx")))).alias("w")) for dy in (0, 1) for dx in (0, 1)]
-    g = grid.withColumn("k", F.explode(F.array(*corners))).where("k.w > 0").select(*keys, "ty", "tx", F.col("k.y").alias("y"), F.col("k.x").alias("x"), F.col("k.w").alias("w"))
-    j = g.join(df, [*keys, "y", "x"])
-    return j.groupBy(*keys, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col(value) * F.col("w")).alias(value))
+    """Square frames resized by the four neighbours of each target centre; edges are clamped. No join, one aggregate."""
+    at = lambda to: F.least(F.greatest((to + 0.5) * size / target - 0.5, F.lit(0.0)), F.lit(size - 1.0))
+    weight = lambda own, to: 1 - F.abs(own - at(to))
+    d = _targets(df, keys, size, target, value, 0.5, lambda own, to: weight(own, to) > 0)
+    w = weight(F.col("y"), F.col("_y")) * weight(F.col("x"), F.col("_x"))
+    return d.groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x")).agg(F.sum(F.col(value) * w).alias(value))
 
 
 def box_mean(df: DataFrame, keys: list[str], value: str, size: int = 5, out: str = "mean") -> DataFrame:

@@ -229,6 +229,32 @@ def test_chips_round_trip(spark):
     assert chips.target_size(100, 10, 30) == pytest.approx(33.333, abs=1e-3) and chips.target_size(100, 30, 10, legacy=True) == 150
 
 
+@pytest.mark.parametrize(("size", "target"), [(8, 4), (4, 8), (5, 7), (7, 3), (10, 2), (1, 5), (6, 6)])
+def test_resized_frames(spark, size, target):
+    """Equal to the formula on whole arrays; frames without a key and pixels outside are left out."""
+    a = np.arange(2.0 * size * size).reshape(2, size, size) ** 2
+    rows = [(k, y, x, float(a[k, y, x])) for k in (0, 1) for y in range(size) for x in range(size)] + [(0, size, 0, 9.0), (1, 0, -1, 9.0), (0, None, 0, 9.0), (None, 0, 0, 9.0)]
+    d = spark.createDataFrame(rows, "t int, y int, x int, v double")
+    full = lambda df: {(r.t, r.y, r.x): r.v for r in df.collect()}
+    at = np.clip((np.arange(target) + 0.5) * size / target - 0.5, 0, size - 1)
+    w = np.maximum(0, 1 - np.abs(at[:, None] - np.arange(size)))
+    i = np.floor((np.arange(target) + 0.5) * size / target).astype(int)
+    for got, want in ((chips.nearest, a[:, i][:, :, i]), (chips.bilinear, w @ a @ w.T)):
+        out = got(d, ["t"], size, target, "v")
+        found = full(out)
+        assert out.count() == len(found) == want.size and all(found[p] == pytest.approx(v) for p, v in np.ndenumerate(want))
+
+
+def test_frames_are_not_broadcast(spark):
+    """The grid of all frames is much larger than the list of frames by which Spark judges it; none of it goes through the driver."""
+    n = 500
+    d = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")).select("id", "y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x")).withColumn("v", F.sin(F.col("id") + F.col("y") * 8 + F.col("x")))
+    whole = frames.inferred(d, ["id"], "v", 8, 4, 3, lambda batch: [(v > 0).astype(int) for v in batch], 0.01, 0.2)
+    for out, rows in ((whole, 64), (chips.bilinear(d, ["id"], 8, 4, "v"), 16), (chips.nearest(d, ["id"], 8, 4, "v"), 16), (chips.pad(d, ["id"], 8, 8, 3, "v"), 81)):
+        assert len(out.collect()) == n * rows
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mosaic_orders_numbers(spark):
     tiles = spark.createDataFrame([("a", 99, 5), ("b", 100, 5), ("c", 99, 4)], "tile_id string, xloc int, yloc int")
     px = spark.createDataFrame([(t, y, x) for t in "abc" for y in (0, 1) for x in (0, 1)], "tile_id string, y int, x int")

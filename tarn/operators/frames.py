@@ -105,12 +105,17 @@ def inferred(df: DataFrame, keys: list[str], value: str, size: int, target: int,
     from tarn.operators import chips
 
     small = chips.bilinear(df, keys, size, target, value)
-    whole = chips.pad(small, keys, target, target, chip, value)
-    cut = chips.to_chips(whole.withColumn(value, (F.col(value) - F.lit(mean)) / F.lit(std)), chip)
-    at = F.array_sort(F.collect_list(F.struct("r", "c", F.col(value).alias("v"))))
-    batch = cut.groupBy(*keys, "chip_i", "chip_j").agg(F.transform(at, lambda p: p["v"]).alias("data"))
-    got = scored(batch, scorer, [*keys, "chip_i", "chip_j"])
-    got = got.select(*keys, "chip_i", "chip_j", F.posexplode("classes").alias("_k", out))
+    at = [*keys, "chip_i", "chip_j"]
+    norm = lambda v: (v - F.lit(mean)) / F.lit(std)
+    cut = chips.to_chips(small, chip).select(*at, F.struct((F.col("r") * chip + F.col("c")).alias("k"), norm(F.coalesce(F.col(value), F.lit(0.0))).alias("v")).alias("_p"))
+    # padding: a row for each chip, so that none is missing; the pixels that a chip lacks are put in where it is made
+    edge = F.sequence(F.lit(0), F.lit(-(-target // chip) - 1))
+    every = small.select(*keys).distinct().withColumn("chip_i", F.explode(edge)).withColumn("chip_j", F.explode(edge)).withColumn("_p", F.lit(None).cast(cut.schema["_p"].dataType))
+    has = F.collect_list("_p")
+    lacks = F.array_except(F.sequence(F.lit(0), F.lit(chip * chip - 1)), F.transform(has, lambda p: p["k"]))
+    full = F.array_sort(F.concat(has, F.transform(lacks, lambda k: F.struct(k.alias("k"), norm(F.lit(0.0)).alias("v")))))
+    batch = cut.unionByName(every).groupBy(*at).agg(F.transform(full, lambda p: p["v"]).alias("data"))
+    got = scored(batch, scorer, at).select(*at, F.posexplode("classes").alias("_k", out))
     flat = chips.from_chips(got.withColumns({"r": F.floor(F.col("_k") / chip).cast("int"), "c": F.pmod("_k", F.lit(chip)).cast("int")}), chip)
     kept = flat.where((F.col("y") < target) & (F.col("x") < target)).select(*keys, "y", "x", out)
     return chips.nearest(kept, keys, target, size, out)

@@ -255,6 +255,14 @@ def test_frames_are_not_broadcast(spark):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_inferred_pads_missing_chips(spark):
+    """Frames of one pixel and of one null: every pixel comes back, absent ones scored as 0 normalised."""
+    d = spark.createDataFrame([(1, 0, 0, 8.0), (2, 7, 7, None)], "t int, y int, x int, v double")
+    seen = lambda batch: [np.where(v > 0, 1, np.where(v == -3, 2, 3)) for v in batch]
+    got = {(r.t, r.y, r.x): r.mask for r in frames.inferred(d, ["t"], "v", 8, 4, 3, seen, 1.5, 0.5).collect()}
+    assert got == {(t, y, x): 1 if t == 1 and y < 2 and x < 2 else 2 for t in (1, 2) for y in range(8) for x in range(8)}
+
+
 def test_mosaic_orders_numbers(spark):
     tiles = spark.createDataFrame([("a", 99, 5), ("b", 100, 5), ("c", 99, 4)], "tile_id string, xloc int, yloc int")
     px = spark.createDataFrame([(t, y, x) for t in "abc" for y in (0, 1) for x in (0, 1)], "tile_id string, y int, x int")
